@@ -27,10 +27,29 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-ROOM = 400_000
+ROOM = 500_000
+MARKS = ".,;:|!?"
+#: Letters that every Unicode version calls so, in normal form C, with lower-case forms of their own.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(rf"([{_LETTERS}]+)([{MARKS}]?)")
+#: Without apostrophes (contractions) and angle brackets (special strings), these letters, digits
+#: and marks are pre-tokens by kind.
+SIMPLE = re.compile(rf"[{_LETTERS}0-9!-&(-/:;=?@\[-`{{-~]+")
+SPLIT = {"words": re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+"), "gpt2": re.compile(rf"[{_LETTERS}]+|[0-9]+|[^{_LETTERS}0-9]+")}
 _OPEN: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones as
+    themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _byte_letters()
+
+
 def opened(path: str) -> Encoder:
     """The encoder of a vocabulary file, once per process."""
     if path not in _OPEN:
@@ -60,35 +79,58 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = _kind(json.loads(open(path, encoding="utf-8").read()))
+        self.model = self.tokenizer.model
+        self.lead = BYTES[32] if self.kind == "gpt2" else ""
         self.parts: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.marks = {"": b""} | dict(zip(MARKS, self._library(list(MARKS))))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
+    def _simple(self, part: str) -> bytes:
+        out, lead = b"", self.lead
+        for x in SPLIT[self.kind].findall(part.lower() if self.kind == "words" else part):
+            got = self.pieces.get(lead + x)
+            if got is None:
+                raw = x if x.isascii() else x.encode().decode("latin-1").translate(BYTES)
+                got = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(lead + raw)])
+                if len(self.pieces) > ROOM // 4:
+                    self.pieces.clear()
+                self.pieces[lead + x] = got
+            out += got
+            lead = ""
+        return out
+
     def _fill(self, parts: set[str], lead: str) -> None:
         """Encode the parts not known yet; each stands after ``lead``."""
         if len(self.parts) > ROOM:
             self.parts.clear()
-        if len(self.stems) > ROOM:
-            self.stems.clear()
-        missing, need = [], set()
-        for p in parts - self.parts.keys():
-            # A lone mark after an ASCII word is a pre-token of its own in both families.
-            stem, mark = (p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".,;:|" and p[:-1].isascii() and p[:-1].isalpha() else (p, "")
-            if self.kind == "words" and stem.isascii() and stem.isalpha():
+        known, table, other = self.parts, self.bytes_of, []
+        for p in parts.difference(known):
+            m = PLAIN.fullmatch(p)
+            if not m:
+                if SIMPLE.fullmatch(p):
+                    known[p] = self._simple(p)
+                else:
+                    other.append(p)
+                continue
+            # A Latin word is one pre-token, a lone mark after it another, in both families.
+            stem, mark = m.groups()
+            if self.kind == "words":
                 stem = stem.lower()
-            missing.append((p, stem, mark))
-            need.add(lead + stem)
-            if mark:
-                need.add(mark)
-        fresh = list(need - self.stems.keys())
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            self.stems.update(zip(some, self._library(some)))
-        for p, stem, mark in missing:
-            self.parts[p] = self.stems[lead + stem] + (self.stems[mark] if mark else b"")
+            got = known.get(stem)
+            if got is None:
+                raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTES)
+                got = b"".join([table[t.id] for t in self.model.tokenize(self.lead + raw)])
+                known[stem] = got
+            if mark or p != stem:
+                known[p] = got + self.marks[mark]
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            known.update(zip(some, self._library([lead + p for p in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -105,7 +147,7 @@ class Encoder:
         if head[-1:].isspace() or not head and rest:
             return None
         known = set(rest)
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in known - self.parts.keys()):
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in known.difference(self.parts)):
             return None
         self._fill(known, " ")
         sizes = np.fromiter(map(len, map(self.parts.__getitem__, rest)), np.int64, len(rest)) // 4
