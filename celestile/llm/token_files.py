@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from celestile.llm.batches import runs
 from celestile.llm.scratch import Scratch
 from celestile.llm.vocab import opened
 
@@ -29,8 +30,8 @@ END = 2
 STRIDE = 1000
 STRIPE = 16 << 20
 SCHEMA = "doc_id long, part int, base long, n_tokens int, ids array<int>"
-#: Characters of text that are encoded at once.
-AT_ONCE = 1 << 20
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1 << 21
 
 
 def _encoder(path: str, end: int):
@@ -40,11 +41,7 @@ def _encoder(path: str, end: int):
         enc, part, base = opened(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             texts = whole.column("text")
-            ends = np.cumsum(np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], dtype=np.int64))
-            at = 0
-            while at < whole.num_rows:
-                used = int(ends[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, used + AT_ONCE, "right")))
+            for at, to in runs(texts, AT_ONCE):
                 ids = [x + tail for x in enc.encode([t or "" for t in texts[at:to].to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 offsets = np.r_[0, np.cumsum(sizes)]
@@ -54,7 +51,6 @@ def _encoder(path: str, end: int):
                     ["doc_id", "part", "base", "n_tokens", "ids"],
                 )
                 base += int(offsets[-1])
-                at = to
 
     return run
 
@@ -65,7 +61,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, files: int
     spark = docs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     out = rows.mapInArrow(_encoder(tokenizer, end), SCHEMA).write
     out = out.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     out.option("orc.create.index", "true").option("orc.row.index.stride", STRIDE).option("orc.stripe.size", STRIPE).orc(path, compression="zstd")

@@ -27,7 +27,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-ROOM = 500_000
+ROOM = 800_000
 MARKS = ".,;:|!?"
 #: Letters that every Unicode version calls so, in normal form C, with lower-case forms of their own.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -82,6 +82,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.lead = BYTES[32] if self.kind == "gpt2" else ""
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.marks = {"": b""} | dict(zip(MARKS, self._library(list(MARKS))))
@@ -106,10 +107,14 @@ class Encoder:
 
     def _fill(self, parts: set[str], lead: str) -> None:
         """Encode the parts not known yet; each stands after ``lead``."""
-        if len(self.parts) > ROOM:
-            self.parts.clear()
-        known, table, other = self.parts, self.bytes_of, []
+        if len(self.parts) > ROOM // 2:  # what comes up again is taken over from the older half
+            self.older, self.parts = self.parts, {}
+        known, older, table, other = self.parts, self.older, self.bytes_of, []
         for p in parts.difference(known):
+            got = older.get(p)
+            if got is not None:
+                known[p] = got
+                continue
             m = PLAIN.fullmatch(p)
             if not m:
                 if SIMPLE.fullmatch(p):
@@ -121,12 +126,12 @@ class Encoder:
             stem, mark = m.groups()
             if self.kind == "words":
                 stem = stem.lower()
-            got = known.get(stem)
+            got = known.get(stem) or older.get(stem)
             if got is None:
                 raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTES)
                 got = b"".join([table[t.id] for t in self.model.tokenize(self.lead + raw)])
                 known[stem] = got
-            if mark or p != stem:
+            if p != stem:
                 known[p] = got + self.marks[mark]
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
