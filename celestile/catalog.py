@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, replace
 
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -43,7 +42,8 @@ class Catalog:
         return self.path is not None
 
     def rows(self, columns: list[str] | None = None) -> DataFrame:
-        """The rows of the partitions, with the default columns unless others are named.
+        """The rows of the partitions, with the default columns unless others are named; all
+        columns for an empty list.
         Partitions are found by directory, so Spark prunes them; rows of leaf cells that were
         filtered out are not read."""
         df = self.rows_df
@@ -52,16 +52,20 @@ class Catalog:
                 raise ValueError("the catalog has no rows")
             df = self.spark.read.parquet(f"{self.path}/{paths.DATASET}")
             df = df.withColumns({c: F.col(c).cast(t) for c, t in (("Norder", "int"), ("Dir", "long"), ("Npix", "long")) if c in df.columns})
-        names = columns or self.properties.default_columns
+        names = columns if columns is not None else self.properties.default_columns
         df = df.join(self.partitions.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi")
         return df.select(*names) if names else df
 
+    def all_columns(self) -> list[str]:
+        rows = self.rows_df if self.rows_df is not None else self.spark.read.parquet(f"{self.path}/{paths.DATASET}")
+        return rows.columns
+
     @property
     def schema(self):
         """From the small metadata files; None, with a warning, where there are none."""
         for name in (paths.COMMON, paths.METADATA):
             if self.path and paths.exists(paths.pointer(self.path, name)):
-                return from_arrow_schema(pq.read_schema(paths.local(paths.pointer(self.path, name))))
+                return from_arrow_schema(metadata.read_schema(paths.pointer(self.path, name)))
         warnings.warn(f"{self.name} has no metadata file", stacklevel=2)
         return None
 

@@ -132,9 +132,9 @@ def neighbour(pix: str, order: int, k: int, out: str, engine: str = "spark", tag
         {f"{t}a": f"({t}x + ({NEAR_X[k]}))", f"{t}b": f"({t}y + ({NEAR_Y[k]}))"},
         {
             f"{t}nb": f"(4 + CASE WHEN {t}a < 0 THEN -1 WHEN {t}a >= {n} THEN 1 ELSE 0 END + CASE WHEN {t}b < 0 THEN -3 WHEN {t}b >= {n} THEN 3 ELSE 0 END)",
-            f"{t}c": f"({t}a & {n - 1})", f"{t}d": f"({t}b & {n - 1})",
+            f"{t}c": f"({t}a & {n - 1})", f"{t}d": f"({t}b & {n - 1})", f"{t}f4": f"({t}f >> 2)",
         },
-        {f"{t}to": pick(flat, f"({t}nb * 12 + {t}f)", engine), f"{t}tr": pick(turn, f"({t}nb * 3 + ({t}f >> 2))", engine)},
+        {f"{t}to": pick(flat, f"({t}nb * 12 + {t}f)", engine), f"{t}tr": pick(turn, f"({t}nb * 3 + {t}f4)", engine)},
         {f"{t}p": f"CASE WHEN ({t}tr & 1) > 0 THEN {n - 1} - {t}c ELSE {t}c END", f"{t}q": f"CASE WHEN ({t}tr & 2) > 0 THEN {n - 1} - {t}d ELSE {t}d END"},
         {f"{t}r": f"CASE WHEN ({t}tr & 4) > 0 THEN {t}q ELSE {t}p END", f"{t}s": f"CASE WHEN ({t}tr & 4) > 0 THEN {t}p ELSE {t}q END"},
         *xyf2pix(f"{t}r", f"{t}s", f"CAST({t}to AS BIGINT)", order, f"{t}o", f"{t}i"),
@@ -158,11 +158,16 @@ def all_neighbours(pix: str, order: int, engine: str = "spark") -> tuple[Steps,
 
 def apply(df: DataFrame, steps: Steps, keep: list[str]) -> DataFrame:
     """``df`` with the columns ``keep`` of the steps. The steps stay projections of their
-    own where a result is used more than once, all in one generated stage."""
+    own where a result is used more than once, all in one generated stage.
+
+    The results leave through a generator of one row: predicates and join keys on them
+    are then tested after it. Pushed through the steps, a predicate would hold every step's
+    expression as often as its result is used, which doubles from step to step.
+    """
     names = df.columns
     for s in steps:
         df = df.withColumns({k: F.expr(v) for k, v in s.items()})
-    return df.select(*(c for c in names if c not in keep), *keep)
+    return df.select(*(c for c in names if c not in keep), F.inline(F.array(F.struct(*keep))))
 
 
 def nest(query: str, steps: Steps) -> str:

@@ -65,8 +65,9 @@ def descendants(cells: DataFrame, steps: int) -> DataFrame:
     whole = F.col("Norder") < 0
     n = F.when(whole, F.lit(12 << 2 * max(steps - 1, 0))).otherwise(F.lit(1 << 2 * steps))
     first = F.when(whole, F.lit(0)).otherwise(F.shiftleft("Npix", 2 * steps))
-    o = F.when(F.col("Norder") + steps <= hp.MAX_ORDER, F.col("Norder") + steps).otherwise(F.raise_error(F.lit("orders end at 29")).cast("int"))
-    return cells.select(o.alias("Norder"), F.explode(F.sequence(first.cast("long"), (first + n - 1).cast("long"))).alias("Npix")) if steps else cells
+    fits = F.col("Norder") + steps <= hp.MAX_ORDER
+    below = F.when(fits, F.sequence(first.cast("long"), (first + n - 1).cast("long"))).otherwise(F.raise_error(F.lit("orders end at 29")).cast("array<bigint>"))
+    return cells.select((F.col("Norder") + steps).alias("Norder"), F.explode(below).alias("Npix")) if steps else cells
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from celestile.functions import healpix as hp
@@ -33,8 +33,8 @@ def size_bins(sizes: DataFrame, size: str, edges: list[float]) -> DataFrame:
     for i, e in enumerate(edges, 1):
         which = F.when(F.col(size) >= e, i).otherwise(which)
     by = sizes.groupBy(which.alias("bin")).agg(F.count("*").alias("n"), F.sum(size).alias("total"))
-    whole = by.agg(F.sum("total").alias("whole"))
-    return by.crossJoin(F.broadcast(whole)).select("bin", "n", "total", (F.col("total") / F.col("whole")).alias("share"))
+    whole = F.sum("total").over(Window.partitionBy(F.lit(0)))  # a row for each bin
+    return by.select("bin", "n", "total", (F.col("total") / whole).alias("share"))
 
 
 def partition_files(df: DataFrame) -> DataFrame:

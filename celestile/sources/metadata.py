@@ -7,6 +7,7 @@ driver is a row for each row group.
 from __future__ import annotations
 
 import csv
+import io
 import warnings
 from collections.abc import Iterator
 
@@ -22,12 +23,18 @@ PAIR = ("Norder", "Npix", "join_Norder", "join_Npix")
 def read_footer(path: str) -> pq.FileMetaData:
     if not P.exists(path):
         raise FileNotFoundError(f"no parquet file at {path}")
-    return pq.read_metadata(P.local(path))
+    where, at = P.located(path)
+    return pq.read_metadata(at, filesystem=where)
+
+
+def read_schema(path: str) -> pa.Schema:
+    where, at = P.located(path)
+    return pq.read_schema(at, filesystem=where)
 
 
 def row_groups(path: str) -> Iterator[pq.RowGroupMetaData]:
     """The row groups of a metadata file, or of that of a catalog directory."""
-    where = P.pointer(path, P.METADATA) if P.local(path).is_dir() else path
+    where = P.pointer(path, P.METADATA) if P.is_directory(path) else path
     footer = read_footer(where)
     for i in range(footer.num_row_groups):
         yield footer.row_group(i)
@@ -68,8 +75,7 @@ def pairs_from_metadata(path: str, strict: bool = False) -> list[tuple[int, int,
 
 
 def _csv(path: str, columns: tuple[str, ...]) -> list[tuple[int, ...]]:
-    with open(P.local(path), newline="") as f:
-        rows = list(csv.DictReader(f))
+    rows = list(csv.DictReader(io.StringIO(P.read_text(path))))
     if rows and (missing := [c for c in columns if c not in rows[0]]):
         raise ValueError(f"no column {', '.join(missing)} in {path}")
     return [tuple(int(float(r[c])) for c in columns) for r in rows]
@@ -102,10 +108,11 @@ def _either(base: str, name: str, of_csv, of_metadata):
 
 
 def write_csv(path: str, columns: tuple[str, ...], rows: list[tuple]) -> None:
-    with open(P.local(path), "w", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(columns)
-        w.writerows(rows)
+    text = io.StringIO()
+    w = csv.writer(text, lineterminator="\n")
+    w.writerow(columns)
+    w.writerows(rows)
+    P.write_text(path, text.getvalue())
 
 
 def write_partitions(base: str | None, cells: list, path: str | None = None) -> None:
@@ -124,16 +131,18 @@ def write_cells_metadata(base: str, rows: list[tuple[int, ...]], columns: tuple[
     """Metadata files whose row groups stand for cells or pairs of them; returns their number."""
     P.make_directory(f"{base}/{P.DATASET}", exist_ok=True)
     schema = pa.schema([(c, pa.int64()) for c in columns])
-    with pq.ParquetWriter(P.local(P.pointer(base, P.METADATA)), schema) as w:
+    where, at = P.located(P.pointer(base, P.METADATA))
+    with pq.ParquetWriter(at, schema, filesystem=where) as w:
         for r in rows:
             w.write_table(pa.table({c: [v] for c, v in zip(columns, r)}, schema))
-    pq.write_metadata(schema, P.local(P.pointer(base, P.COMMON)))
+    pq.write_metadata(schema, P.located(P.pointer(base, P.COMMON))[1], filesystem=where)
     return len(rows)
 
 
 def leaf_list(base: str) -> list[str]:
-    top = f"{P.local(base)}/{P.DATASET}"
-    return [f for f in P.find_files(top, "**", "*.parquet") if not f[len(top) + 1 :].startswith("intermediate")]
+    """The leaf files of a catalog, as paths of its file system."""
+    top = f"{P.located(base)[1]}/{P.DATASET}"
+    return [f for f in P.find_files(f"{str(base).rstrip('/')}/{P.DATASET}", "*.parquet") if not f[len(top) + 1 :].startswith("intermediate")]
 
 
 def cell_of_footer(footer: pq.FileMetaData, order: str = "Norder", pixel: str = "Npix") -> tuple[int, int]:
@@ -142,27 +151,54 @@ def cell_of_footer(footer: pq.FileMetaData, order: str = "Norder", pixel: str =
     return int(single_value(footer.row_group(0), order)), int(single_value(footer.row_group(0), pixel))
 
 
-def write_metadata(base: str, by_cell: bool = True, out: str | None = None) -> int:
+#: Above this many leaf files footers are read by the executors.
+MANY_FOOTERS = 2000
+
+
+def _footers(files: list[str], where, spark: SparkSession | None) -> Iterator[pq.FileMetaData]:
+    if spark is None or len(files) <= MANY_FOOTERS:
+        yield from (pq.read_metadata(f, filesystem=where) for f in files)
+        return
+
+    def read(batches):
+        for b in batches:
+            got = [pq.read_metadata(f, filesystem=where) for f in b.column("f").to_pylist()]
+            kept = []
+            for m in got:
+                sink = pa.BufferOutputStream()
+                m.write_metadata_file(sink)
+                kept.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(kept, pa.binary())], ["i", "m"])
+
+    df = spark.createDataFrame(list(enumerate(files)), "i long, f string").repartition(max(1, len(files) // 200))
+    for r in df.mapInArrow(read, "i long, m binary").orderBy("i").toLocalIterator():
+        yield pq.read_metadata(pa.BufferReader(bytes(r["m"])))
+
+
+def write_metadata(base: str, by_cell: bool = True, out: str | None = None, spark: SparkSession | None = None) -> int:
     """Combine the footers of all leaf files into the two metadata files, row groups along
-    the nested curve unless ``by_cell`` is false; returns the number of rows."""
-    top = f"{P.local(base)}/{P.DATASET}"
+    the nested curve unless ``by_cell`` is false; returns the number of rows. With a
+    session the footers of many files are read by the executors."""
+    where = P.located(base)[0]
+    top = f"{P.located(base)[1]}/{P.DATASET}"
     found, total, schema = [], 0, None
-    for f in leaf_list(base):
-        footer = pq.read_metadata(f)
+    files = leaf_list(base)
+    for f, footer in zip(files, _footers(files, where, spark)):
         footer.set_file_path(f[len(top) + 1 :])
-        cell = P.cell_of_path(f) if by_cell else (0, 0)
+        cell = P.cell_of_path(f[len(top) :]) if by_cell else (0, 0)
         if by_cell and cell == P.INVALID:
             cell = cell_of_footer(footer)
         found.append((cell[1] << 2 * (29 - cell[0]), len(found), footer))
         total += footer.num_rows
-        schema = schema or pq.read_schema(f)
+        schema = schema or pq.read_schema(f, filesystem=where)
     if schema is None:
         raise FileNotFoundError(f"no leaf files under {top}")
     into = out or base
-    P.make_directory(f"{P.local(into)}/{P.DATASET}", exist_ok=True)
+    P.make_directory(f"{into}/{P.DATASET}", exist_ok=True)
+    to = P.located(into)[0]
     found.sort(key=lambda x: x[:2])
-    pq.write_metadata(schema, P.local(P.pointer(into, P.METADATA)), metadata_collector=[x[2] for x in found])
-    pq.write_metadata(schema, P.local(P.pointer(into, P.COMMON)))
+    pq.write_metadata(schema, P.located(P.pointer(into, P.METADATA))[1], metadata_collector=[x[2] for x in found], filesystem=to)
+    pq.write_metadata(schema, P.located(P.pointer(into, P.COMMON))[1], filesystem=to)
     return total
 
 
@@ -177,3 +213,8 @@ def footer_statistics(spark: SparkSession, path: str) -> DataFrame:
             best[name] = [lo, hi, nulls + (s.null_count or 0 if s is not None else 0)]
     rows = [(k, None if a is None else str(a), None if b is None else str(b), n) for k, (a, b, n) in best.items()]
     return spark.createDataFrame(rows, "column_names string, min_value string, max_value string, null_count long")
+
+
+def row_total(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet folder, counted by its footers."""
+    return spark.read.parquet(path).count()

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, fields, replace
-from pathlib import Path
+
+from celestile.sources.paths import read_text, write_text
 
 PREFIX = "sky"
 TYPES = ("object", "source", "association", "index", "margin")
@@ -109,16 +110,13 @@ class Properties:
 
     @classmethod
     def read(cls, directory: str) -> Properties:
-        path = Path(str(directory).removeprefix("file://")) / "properties"
-        if not path.exists():
-            raise FileNotFoundError(f"no properties file at {path}")
-        return cls.of(parse(path.read_text("utf-8")))
+        return cls.of(parse(read_text(f"{str(directory).rstrip('/')}/properties")))
 
     def write(self, directory: str, prefix: str = PREFIX) -> None:
         out = ["#Catalog metadata"]
         for k, v in (*((KEYS[k].replace("*", prefix), v) for k, v in self.explicit().items()), *self.extra.items()):
             out.append(f"{k}={escaped(' '.join(v) if isinstance(v, list) else str(v))}")
-        (Path(str(directory).removeprefix("file://")) / "properties").write_text("\n".join(out) + "\n", "utf-8")
+        write_text(f"{str(directory).rstrip('/')}/properties", "\n".join(out) + "\n")
 
 
 def escaped(value: str) -> str:

@@ -24,12 +24,12 @@ def _leaf_writer(base: str):
     leaves the same files."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
         import numpy as np
         import pyarrow.parquet as pq
 
+        store = P.located(base)[0]
         now, writer, part, done, held = None, None, "", 0, []
 
         def flush() -> None:
@@ -43,7 +43,7 @@ def _leaf_writer(base: str):
                 return None
             flush()
             writer.close()
-            os.replace(part, P.local(P.leaf_file(base, *now)))
+            store.move(part, P.located(P.leaf_file(base, *now))[1])
             return (*now, done)
 
         out = []
@@ -58,10 +58,10 @@ def _leaf_writer(base: str):
                     if (got := close()) is not None:
                         out.append(got)
                     now, done, held = cell, 0, []
-                    where = P.local(P.leaf_file(base, *now))
-                    os.makedirs(where.parent, exist_ok=True)
+                    where = P.located(P.leaf_file(base, *now))[1]
+                    store.create_dir(where.rpartition("/")[0], recursive=True)
                     part = f"{where}.{uuid.uuid4().hex}.tmp"
-                    writer = pq.ParquetWriter(part, b.schema)
+                    writer = pq.ParquetWriter(part, b.schema, filesystem=store)
                 held.append(b.slice(x, y - x))
                 done += y - x
                 if sum(h.num_rows for h in held) >= GROUP:
@@ -74,24 +74,33 @@ def _leaf_writer(base: str):
     return write
 
 
+def write_leaves(rows: DataFrame, base: str) -> list[tuple[int, int, int]]:
+    """A file for each partition of ``rows (Norder, Npix, _healpix_29, ...)``, sorted by index;
+    returns ``(Norder, Npix, rows)`` along the nested curve."""
+    dealt = rows.withColumn("Dir", hp.directory(F.col("Npix"))).repartition("Norder", "Npix")
+    sorted_ = dealt.sortWithinPartitions("Norder", "Npix", hp.INDEX_COLUMN)
+    written = sorted_.mapInArrow(_leaf_writer(base), "Norder int, Npix long, rows long").collect()  # a row for each file
+    return sorted((tuple(r) for r in written), key=lambda r: r[1] << 2 * (hp.MAX_ORDER - r[0]))
+
+
 def write_catalog(df: DataFrame, base: str, name: str, ra: str = "ra", dec: str = "dec", highest: int = 10, lowest: int = 0, threshold: int = 1_000_000, drop_empty_siblings: bool = False, catalog_type: str = "object", **more) -> list[tuple[int, int]]:
     """Index, partition and write ``df`` with its metadata files; returns its partitions.
-    ``base`` must be a folder that all executors share."""
+    ``base`` must be a folder that all executors share, or the URI of a store. A partition
+    holds at most ``threshold`` rows, so no task gets more than its share of files."""
     spark = df.sparkSession
     rows = hp.with_index(df, ra, dec)
     counts = A.histogram_by_index(rows, highest)
-    aligned = A.alignment(counts, highest, lowest, threshold, drop_empty_siblings)
-    dealt = A.assign(rows, aligned, highest).withColumn("Dir", hp.directory(F.col("Npix")))
-    sorted_ = dealt.repartition("Norder", "Npix").sortWithinPartitions("Norder", "Npix", hp.INDEX_COLUMN)
-    written = sorted_.mapInArrow(_leaf_writer(base), "Norder int, Npix long, rows long").collect()  # a row for each file
-    cells = [(r["Norder"], r["Npix"]) for r in sorted(written, key=lambda r: r["Npix"] << 2 * (29 - r["Norder"]))]
-    finish(spark, base, name, cells, sum(r["rows"] for r in written), catalog_type, ra_column=ra, dec_column=dec, **more)
     counts.withColumn("order", F.lit(highest)).write.mode("overwrite").parquet(f"{base}/{P.POINT_MAP}")
+    counts = spark.read.parquet(f"{base}/{P.POINT_MAP}").select("pix", "n")
+    aligned = A.alignment(counts, highest, lowest, threshold, drop_empty_siblings)
+    written = write_leaves(A.assign(rows, aligned, highest), base)
+    cells = [c[:2] for c in written]
+    finish(spark, base, name, cells, sum(c[2] for c in written), catalog_type, ra_column=ra, dec_column=dec, **more)
     return cells
 
 
 def finish(spark, base: str, name: str, cells: list, total: int, catalog_type: str, **more) -> None:
     M.write_partitions(base, cells)
     if cells:
-        M.write_metadata(base)
+        M.write_metadata(base, spark=spark)
     Properties(catalog_name=name, catalog_type=catalog_type, total_rows=total, **more).write(base)
