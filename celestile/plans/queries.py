@@ -451,9 +451,25 @@ def _(spark, d):
     return rows.join(ring, "fine").select(*KEY, "margin_cell")
 
 
-@query("near_boundary", None)
+def _near_sql(order: int, pixel: int, step: int, arcsec: float, points: str) -> str:
+    n, most = 4 * step, X.separation("p.ra", "p.dec", "b.bra", "b.bdec")
+    gap = X.separation("u.bra", "u.bdec", "v.bra", "v.bdec")
+    angle = "acos(greatest(-1.0e0, least(1.0e0, (cos(y) - cos(x) * cos(z)) / (sin(x) * sin(z)))))"
+    return f"""WITH b AS (SELECT s, ra AS bra, dec AS bdec FROM ({_border_sql(order, step)}) WHERE pix = {pixel}),
+    g AS (SELECT u.s, {gap} AS gap FROM b u JOIN b v ON v.s = (u.s + {n - 1}) % {n}),
+    d AS (SELECT o_orderkey, s, {most} AS m FROM ({points}) p, b),
+    n AS (SELECT o_orderkey, s AS k, m AS near FROM d QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY m, s) = 1),
+    t AS (SELECT n.*, f.m AS bef, a.m AS aft FROM n JOIN d f ON f.o_orderkey = n.o_orderkey AND f.s = (n.k + {n - 1}) % {n} JOIN d a ON a.o_orderkey = n.o_orderkey AND a.s = (n.k + 1) % {n}),
+    h AS (SELECT o_orderkey, near, radians(least(bef, aft)) AS x, radians(near) AS y, radians(gap) AS z FROM t JOIN g ON g.s = CASE WHEN aft <= bef THEN k ELSE (k + {n - 1}) % {n} END)
+    SELECT o_orderkey, near <= {arcsec / 3600!r} OR degrees(asin(sin({angle}) * sin(x))) <= {arcsec / 3600!r} AS in_margin FROM h"""
+
+
+_NEAR_CONE = R.Cone(45.0, 20.0, 40 * 3600.0)
+
+
+@query("near_boundary", _near_sql(1, 3, 100, 7200.0, f"SELECT o_orderkey, ra, dec FROM ({view_sql('orders')}) WHERE {_NEAR_CONE.sql('ra', 'dec')}"))
 def _(spark, d):
-    return G.near_boundary(view(spark, d, "orders", "o_orderkey").where(R.row_predicate(R.Cone(45.0, 20.0, 40 * 3600.0))), 1, 3, 7200.0).select("o_orderkey", "in_margin")
+    return G.near_boundary(view(spark, d, "orders", "o_orderkey").where(R.row_predicate(_NEAR_CONE)), 1, 3, 7200.0).select("o_orderkey", "in_margin")
 
 
 # indexes, associations, matches
