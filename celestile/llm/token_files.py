@@ -8,7 +8,7 @@ Readers take stripes in parallel and skip row groups by minima, maxima and filte
 before it, one sum for each file.
 
 Nulls: a null text is an empty one and gets the end id alone; null ids come first.
-Rows with one id stay apart, ordered by text. An empty table gives files without rows.
+Rows with one id stay apart, ordered by a hash of their texts. An empty table gives files without rows.
 """
 
 from __future__ import annotations
@@ -61,7 +61,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, files: int
     spark = docs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))  # many rows of one id spread over several files
+    rows = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     out = rows.mapInArrow(_encoder(tokenizer, end), SCHEMA).write
     out = out.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     out.option("orc.create.index", "true").option("orc.row.index.stride", STRIDE).option("orc.stripe.size", STRIPE).orc(path, compression="zstd")
