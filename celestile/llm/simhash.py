@@ -7,7 +7,7 @@ get the smallest id that can be reached over links.
 * Pairs are formed in exact pigeonhole blocks: the 64 bits are cut into
   ``max_distance + r`` runs, and two linked fingerprints agree on at least ``r`` of
   them, so sharing the runs of one of the ``C(max_distance + r, r)`` choices loses
-  no link. ``r`` follows from the number of fingerprints alone.
+  no link. ``r`` follows from the number of fingerprints alone, by cost.
 * Inside a block a table of Hamming distances to ``PIVOTS`` reference fingerprints
   discards pairs: by the triangle inequality a linked pair differs by at most
   ``max_distance`` in every coordinate. The block is sorted by the first
@@ -65,13 +65,27 @@ def simhash(items: list[bytes]) -> int:
     return value
 
 
+def wide(items: list[bytes]) -> list[int]:
+    """A SimHash of 256 bits, as four signed numbers: two 128-bit hashes of each item."""
+    ones = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(items), _STEP):
+        some = items[at : at + _STEP]
+        halves = [np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some, repeat(seed))), np.uint8).reshape(-1, 16) for seed in (1, 2)]
+        ones += np.unpackbits(np.concatenate(halves, axis=1), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(items)).view(">i8").tolist()
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, width: int, check_width: int | None = None, check_distinct: bool = False) -> DataFrame:
-    """``(doc_id, fp[, chk])`` of every row. ``check_width`` adds a second fingerprint
-    of shingles of that width, and then ``fp`` is taken over distinct items."""
+#: The columns of a wide fingerprint.
+WIDE = ["c0", "c1", "c2", "c3"]
+
+
+def fingerprints(docs: DataFrame, width: int, check_width: int | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of every row. ``check_width`` adds the wide fingerprint ``c0`` to
+    ``c3`` of shingles of that width, and then ``fp`` is taken over distinct items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,25 +95,31 @@ def fingerprints(docs: DataFrame, width: int, check_width: int | None = None, ch
                 items = shingles(w, width)
                 fp.append(signed(simhash(sorted(set(items)) if check_width else items)))
                 if check_width:
-                    chk.append(signed(simhash(shingles(w, check_width))))
+                    chk.append(wide(shingles(w, check_width)))
             cols = [batch.column("doc_id"), pa.array(fp, pa.int64())]
             names = ["doc_id", "fp"]
             if check_width:
-                cols.append(pa.array(chk, pa.int64()))
-                names.append("chk")
+                cols += [pa.array(c, pa.int64()) for c in (zip(*chk) if chk else [[]] * len(WIDE))]
+                names += WIDE
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    kind = "doc_id long, fp long" + (", chk long" if check_width else "")
+    kind = "doc_id long, fp long" + (", c0 long, c1 long, c2 long, c3 long" if check_width else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
 
-def masks(max_distance: int, n: int, room: int = 256, most: int = 200) -> list[int]:
-    """One mask of bits for each choice of ``r`` of ``max_distance + r`` runs. ``r`` is
-    the least that leaves about ``room`` of ``n`` fingerprints a block, as long as the
-    choices stay under ``most``; every ``r`` is exact."""
-    r = 1
-    while n / 2 ** (64 * r // (max_distance + r)) > room and math.comb(max_distance + r + 1, r + 1) <= most:
-        r += 1
+#: What dealing out a row costs, in comparisons of two.
+ROW_COST = 500
+
+
+def masks(max_distance: int, n: int) -> list[int]:
+    """One mask of bits for each choice of ``r`` of ``max_distance + r`` runs. Every ``r`` is
+    exact; the one of least cost is taken: rows dealt, and comparisons within blocks of
+    ``n / 2 ** bits`` fingerprints."""
+
+    def cost(r: int) -> float:
+        return math.comb(max_distance + r, r) * (ROW_COST + n / 2 ** (64 * r // (max_distance + r)))
+
+    r = min(range(1, 9), key=cost)
     runs = max_distance + r
     edges = [64 * i // runs for i in range(runs + 1)]
     of_run = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(runs)]
@@ -136,7 +156,7 @@ def _forest(group: np.ndarray, node: np.ndarray, fp: np.ndarray, chk: np.ndarray
         if a.size:
             a = a[np.bitwise_count(fp[a] ^ fp[a + k]) <= reach]
         if a.size and chk is not None:
-            a = a[np.bitwise_count(chk[a] ^ chk[a + k]) <= chk_reach]
+            a = a[np.bitwise_count(chk[a] ^ chk[a + k]).sum(axis=1) <= chk_reach]
         for x in a.tolist():
             p, q = find(x), find(x + k)
             if p != q:
@@ -158,7 +178,7 @@ def _links(max_distance: int, chk_distance: int | None):
         def columns(b: pa.RecordBatch) -> list[np.ndarray]:
             return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
-        names = ["t", "k", "a", "b", "node", "fp"] + (["chk"] if chk_distance is not None else [])
+        names = ["t", "k", "a", "b", "node", "fp"] + (WIDE if chk_distance is not None else [])
         held: list[list[np.ndarray]] = []
         rows = 0
 
@@ -175,7 +195,7 @@ def _links(max_distance: int, chk_distance: int | None):
                 held, rows = [[c[cut:] for c in cols]], len(new) - cut
             group = np.cumsum(new)[:cut]
             part = [c[:cut] for c in cols]
-            chk = part[6].astype(np.int64).view(np.uint64) if chk_distance is not None else None
+            chk = np.stack(part[6:], axis=1).astype(np.int64).view(np.uint64) if chk_distance is not None else None
             x, y = _forest(group, part[4], part[5].astype(np.int64).view(np.uint64), chk, max_distance, chk_distance or 0)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
 
@@ -191,8 +211,8 @@ def _links(max_distance: int, chk_distance: int | None):
 
 def links(nodes: DataFrame, scratch: Scratch, max_distance: int, chk_distance: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(src, dst)`` of node numbers: per block a spanning forest of all links between
-    the written ``nodes (node, fp[, chk])``."""
-    keep = ["node", "fp"] + (["chk"] if chk_distance is not None else [])
+    the written ``nodes (node, fp[, c0 to c3])``."""
+    keep = ["node", "fp"] + (WIDE if chk_distance is not None else [])
     choice = masks(max_distance, nodes.count())
     spread = nodes.select(*keep, F.posexplode(F.array(*[F.lit(m) for m in choice])).alias("t", "mask"))
     spread = spread.select(*keep, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
@@ -212,7 +232,7 @@ def links(nodes: DataFrame, scratch: Scratch, max_distance: int, chk_distance: i
 
 
 def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: int = 4, check_width: int | None = None, check_distance: int | None = None) -> DataFrame:
-    """``(doc_id, fp[, chk], component_id)``, one row per row of ``docs``.
+    """``(doc_id, fp[, c0 to c3], component_id)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest non-null doc_id that can be reached over links,
     the row's own included; null only if no row of the component has an id. Null and
@@ -221,11 +241,11 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: i
     gives an empty result.
 
     With ``check_width`` the blocked fingerprint is taken over the distinct shingles
-    of ``width`` words, and a link also needs the fingerprints of ``check_width``-word
-    shingles to differ in at most ``check_distance`` bits.
+    of ``width`` words, and a link also needs the wide fingerprints of ``check_width``-word
+    shingles to differ in at most ``check_distance`` of 256 bits.
     """
     scratch = Scratch(spark, "simhash")
-    marks = ["fp", "chk"] if check_width else ["fp"]
+    marks = ["fp", *WIDE] if check_width else ["fp"]
     prints = scratch.save(fingerprints(docs, width, check_width), "prints")
     nodes = prints.groupBy(*marks).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
