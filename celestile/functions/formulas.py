@@ -137,7 +137,7 @@ def neighbour(pix: str, order: int, k: int, out: str, engine: str = "spark", tag
         {f"{t}to": pick(flat, f"({t}nb * 12 + {t}f)", engine), f"{t}tr": pick(turn, f"({t}nb * 3 + {t}f4)", engine)},
         {f"{t}p": f"CASE WHEN ({t}tr & 1) > 0 THEN {n - 1} - {t}c ELSE {t}c END", f"{t}q": f"CASE WHEN ({t}tr & 2) > 0 THEN {n - 1} - {t}d ELSE {t}d END"},
         {f"{t}r": f"CASE WHEN ({t}tr & 4) > 0 THEN {t}q ELSE {t}p END", f"{t}s": f"CASE WHEN ({t}tr & 4) > 0 THEN {t}p ELSE {t}q END"},
-        *xyf2pix(f"{t}r", f"{t}s", f"CAST({t}to AS BIGINT)", order, f"{t}o", f"{t}i"),
+        *xyf2pix(f"{t}r", f"{t}s", f"CAST(greatest({t}to, 0) AS BIGINT)", order, f"{t}o", f"{t}i"),
         {out: f"CASE WHEN {t}to >= 0 THEN {t}o END"},
     ]
 

@@ -80,7 +80,8 @@ def margin2order(margin_arcmin: float) -> int:
 
 
 def avgsize2order_col(size_arcmin: Column) -> Column:
-    return F.log2(F.sqrt(F.pi() / 3) / F.radians(size_arcmin / 60)).cast("int")
+    """As ``avgsize2order``; null for a size of 0."""
+    return F.log2(F.try_divide(F.sqrt(F.pi() / 3), F.radians(size_arcmin / 60))).cast("int")
 
 
 def cell_radius(order: int) -> float:

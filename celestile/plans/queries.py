@@ -150,12 +150,12 @@ def _(spark, d):
 
 
 def _border_sql(order: int, step: int) -> str:
-    n, dc, dd = float(1 << order), 0.5 / (1 << order), 1 / (step * (1 << order))
-    q = X.nest(f"SELECT range AS pix FROM range({12 << 2 * order})", X.pix2xyf("pix", order, "bx", "by", "bf"))
+    n, dc, dd = float(1 << order), f"CAST({0.5 / (1 << order)!r} AS DOUBLE)", f"CAST({1 / (step * (1 << order))!r} AS DOUBLE)"
+    q = X.nest(f"SELECT range AS pix FROM range({12 << 2 * order})", X.pix2xyf("pix", order, "qx", "qy", "qf"))
     q = f"SELECT *, s // {step} AS side, s % {step} AS i FROM (SELECT *, unnest(range({4 * step})) AS s FROM ({q}))"
-    u = f"(bx + 0.5e0) / {n!r}e0 + CASE side WHEN 0 THEN {dc!r}::DOUBLE - i * {dd!r}::DOUBLE WHEN 1 THEN -{dc!r}::DOUBLE WHEN 2 THEN -{dc!r}::DOUBLE + i * {dd!r}::DOUBLE ELSE {dc!r}::DOUBLE END"
-    v = f"(by + 0.5e0) / {n!r}e0 + CASE side WHEN 0 THEN {dc!r}::DOUBLE WHEN 1 THEN {dc!r}::DOUBLE - i * {dd!r}::DOUBLE WHEN 2 THEN -{dc!r}::DOUBLE ELSE -{dc!r}::DOUBLE + i * {dd!r}::DOUBLE END"
-    return X.nest(q, [{"bu": u, "bv": v}, *X.xyf2ang("bu", "bv", "bf", "ra", "dec", "duckdb")])
+    u = f"(qx + 0.5e0) / {n!r}e0 + CASE side WHEN 0 THEN {dc} - i * {dd} WHEN 1 THEN -{dc} WHEN 2 THEN i * {dd} - {dc} ELSE {dc} END"
+    v = f"(qy + 0.5e0) / {n!r}e0 + CASE side WHEN 0 THEN {dc} WHEN 1 THEN {dc} - i * {dd} WHEN 2 THEN -{dc} ELSE i * {dd} - {dc} END"
+    return X.nest(q, [{"bu": u, "bv": v}, *X.xyf2ang("bu", "bv", "qf", "ra", "dec", "duckdb")])
 
 
 @query("pixel_boundaries", f"SELECT pix, CAST(s AS INT) AS sample, round(cos(radians(dec)) * cos(radians(ra)), 6) + 0.0 AS x, round(cos(radians(dec)) * sin(radians(ra)), 6) + 0.0 AS y, round(dec, 6) + 0.0 AS dec FROM ({_border_sql(1, 4)})")
@@ -169,9 +169,9 @@ def _(spark, d):
     return view(spark, d, "orders").select("o_orderkey", F.round(hp.separation("ra", "dec", "45.0e0", "-30.0e0"), 6).alias("degrees_apart"))
 
 
-@query("margin2order", "SELECT c_custkey, CAST(trunc(log2(sqrt(pi() / 3) / radians((c_custkey / 100.0e0) * 1.6e0 / 60))) AS INT) AS margin_order FROM customer")
+@query("margin2order", "SELECT c_custkey, CAST(trunc(log2(sqrt(pi() / 3) / radians(((c_custkey + 1) / 100.0e0) * 1.6e0 / 60))) AS INT) AS margin_order FROM customer")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", hp.avgsize2order_col(hp.mindist2avgsize(F.col("c_custkey") / 100.0)).alias("margin_order"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", hp.avgsize2order_col(hp.mindist2avgsize((F.col("c_custkey") + 1) / 100.0)).alias("margin_order"))
 
 
 # histograms and partitions
