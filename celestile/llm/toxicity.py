@@ -1,7 +1,8 @@
 """Toxic passages as maximum-scoring segments (operator 7).
 
 A word scores its log-odds between toxic and clean training texts under an
-informative Dirichlet prior (the words' shares in both together). A text is a
+informative Dirichlet prior (the words' shares in both together); a word without a
+score of its own takes that of its first ``STEM`` bytes, counted alike. A text is a
 sequence of such scores with a negative drift, and one linear scan finds all its
 maximal scoring segments. Segment scores are calibrated by the extreme-value law of
 such segments: with ``lam`` solving ``E[exp(lam * score)] = 1`` on clean words, a text
@@ -35,8 +36,10 @@ SAMPLE = 20_000
 #: A word is kept if it is at least this share of all words seen in training texts, so
 #: there are at most 1 / SHARE of them.
 SHARE = 2e-6
-LEAST_TEXTS = 5
-Z = 4.0
+LEAST_TEXTS = 4
+#: Longer words also count by their first bytes.
+STEM = 6
+Z = 3.0
 DRIFT = 0.05
 E_VALUE = 0.05
 #: A-Z to a-z; ASCII punctuation, digits and controls to spaces.
@@ -52,11 +55,45 @@ class Model:
     slope: float = 0.0
     base: float = -30.0
 
+    def scores(self) -> Scores:
+        if "_scores" not in self.__dict__:
+            self._scores = Scores(self.odds)
+        return self._scores
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scores"}
+
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
+def stem(word: bytes) -> bytes:
+    """The feature of a word's beginning; a word itself never holds the mark."""
+    return word[:STEM] + b"*"
+
+
+def features(text: str | None) -> set[bytes]:
+    words = set(tokens(text))
+    return words | {stem(w) for w in words if len(w) >= STEM}
+
+
+class Scores(dict):
+    """Scores by word, found once per process; forgotten when there are ``ROOM``."""
+
+    ROOM = 1_000_000
+
+    def __init__(self, odds: dict[bytes, float]) -> None:
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= self.ROOM:
+            self.clear()
+        self[word] = s = self.odds.get(word) or (self.odds.get(stem(word), 0.0) if len(word) >= STEM else 0.0)
+        return s
+
+
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(start, end, score)`` of a sequence in which the
     listed positions have the listed scores and all others ``-drift``. Linear: each
@@ -91,7 +128,7 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
 def passages(text: str | None, m: Model) -> tuple[int, list[tuple[int, int, float]]]:
     """The number of words, and the maximal segments by word position."""
     w = tokens(text)
-    got = np.fromiter(map(m.odds.get, w, (0.0,) * len(w)), np.float64, len(w))
+    got = np.fromiter(map(m.scores().__getitem__, w), np.float64, len(w))
     where = np.nonzero(got)[0]
     return len(w), segments(list(zip(where.tolist(), got[where].tolist())), m.drift)
 
@@ -117,7 +154,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
     for b in batches:
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            (toxic if y else clean).update(set(tokens(text)))
+            (toxic if y else clean).update(features(text))
         if len(toxic) + len(clean) > 500_000:
             yield _counted(toxic, clean)
             toxic, clean = Counter(), Counter()
