@@ -65,24 +65,27 @@ def rake(sized: DataFrame, scratch: Scratch, dims: tuple[str, ...] = DIMENSIONS,
         have = cells.groupBy(d).agg(F.sum("tokens").alias("n")).where("n > 0")
         if d in targets:
             share = targets[d].select(F.col("value").alias("v"), F.col("share").cast("double").alias("goal"))
-            goal = have.join(share, have[d].eqNullSafe(share["v"]), "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+            goal = have.join(share, have[d].eqNullSafe(share["v"]), "left").select(F.col(d).alias("of"), F.coalesce("goal", F.lit(0.0)).alias("goal"))
         else:
-            goal = have.select(d, F.pow(F.col("n") / total, F.lit(temper[d])).alias("goal"))
+            goal = have.select(F.col(d).alias("of"), F.pow(F.col("n") / total, F.lit(temper[d])).alias("goal"))
         goal = scratch.save(goal, f"goal-{d}")
         whole = goal.agg(F.sum("goal")).first()[0]
-        goals[d] = goal.select(F.col(d).alias("of"), (F.col("goal") / whole * total).alias("goal"))
+        goals[d] = goal.select("of", (F.col("goal") / whole * total).alias("goal"))
     for _ in range(ROUNDS):
-        off = 0.0
+        now, offs = cells, []
         for d in dims:
-            have = cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
+            have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
             step = have.join(goals[d], have[d].eqNullSafe(F.col("of"))).where("have > 0")
-            step = scratch.save(step.select("of", (F.col("goal") / F.col("have")).alias("by"), (F.abs(F.col("goal") - F.col("have")) / total).alias("off")), f"step-{d}")
-            off = max(off, step.agg(F.max("off")).first()[0] or 0.0)
-            held = cells.join(step, cells[d].eqNullSafe(F.col("of")), "left")
-            after = scratch.save(held.select(*dims, "tokens", (F.col("factor") * F.coalesce("by", F.lit(1.0))).alias("factor")), "cells")
-            scratch.drop(cells)
-            scratch.drop(step)
-            cells = after
+            step = step.select(F.col("of").alias("_of"), (F.col("goal") / F.col("have")).alias("_by"), (F.abs(F.col("goal") - F.col("have")) / total).alias(f"_off_{d}"))
+            offs.append(f"_off_{d}")
+            held = now.join(step, now[d].eqNullSafe(F.col("_of")), "left").withColumn("factor", F.col("factor") * F.coalesce("_by", F.lit(1.0)))
+            now = held.select(*dims, "tokens", "factor", *offs)
+        # One plan and one table a round: the exchanges of a step are used again by the next.
+        now = scratch.save(now, "cells")
+        off = max(x or 0.0 for x in now.agg(*(F.max(x) for x in offs)).first())
+        scratch.drop(cells)
+        cells = now.drop(*offs)
+        cells._celestile_path = now._celestile_path
         if off <= tolerance:
             break
     else:
