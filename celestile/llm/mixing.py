@@ -28,7 +28,10 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 KEEP = 0.5
 TOLERANCE = 1e-8
-ROUNDS = 30
+#: Raking ends unsettled after so many rounds in a row that don't lower the deviation by
+#: a share of ``SHRINK``.
+PATIENCE = 20
+SHRINK = 1e-6
 
 
 def n_words(text: Column) -> Column:
@@ -51,9 +54,10 @@ def rake(sized: DataFrame, scratch: Scratch, dims: tuple[str, ...] = DIMENSIONS,
 
     ``targets`` may give ``(value, share)`` for a dimension; a value it lacks gets no
     weight. Other dimensions follow ``temper``. A value whose goal is met by nothing is
-    left out of the fit. Marginals that no weights can meet together never settle: after
-    ``ROUNDS`` rounds the weights stand as they are, exact in the last dimension, with
-    a warning.
+    left out of the fit. Rounds go on until every marginal is met within ``tolerance``.
+    Marginals that no weights can meet together never are: once the deviation has stopped
+    shrinking for ``PATIENCE`` rounds the weights stand as they are, exact in the last
+    dimension, with a warning.
     """
     temper, targets = TEMPER | (temper or {}), targets or {}
     cells = scratch.save(sized.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).withColumn("factor", F.lit(1.0)), "cells")
@@ -71,7 +75,8 @@ def rake(sized: DataFrame, scratch: Scratch, dims: tuple[str, ...] = DIMENSIONS,
         goal = scratch.save(goal, f"goal-{d}")
         whole = goal.agg(F.sum("goal")).first()[0]
         goals[d] = goal.select("of", (F.col("goal") / whole * total).alias("goal"))
-    for _ in range(ROUNDS):
+    rounds, idle, low = 0, 0, float("inf")
+    while True:
         now, offs = cells, []
         for d in dims:
             have = now.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
@@ -86,10 +91,14 @@ def rake(sized: DataFrame, scratch: Scratch, dims: tuple[str, ...] = DIMENSIONS,
         scratch.drop(cells)
         cells = now.drop(*offs)
         cells._celestile_path = now._celestile_path
+        rounds += 1
         if off <= tolerance:
             break
-    else:
-        warnings.warn(f"the marginals can't be met together: off by {off:g} of all tokens after {ROUNDS} rounds", stacklevel=2)
+        idle = 0 if off < low * (1 - SHRINK) else idle + 1
+        low = low if idle else off
+        if idle == PATIENCE:
+            warnings.warn(f"the marginals can't be met together: off by {off:g} of all tokens after {rounds} rounds and no longer shrinking", stacklevel=2)
+            break
     wanted, level, full = keep * total, 0.0, -1
     while True:  # cells whose probability is capped at 1 hand their excess to the others
         capped = F.col("factor") * F.lit(level) >= 1

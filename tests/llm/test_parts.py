@@ -1,6 +1,7 @@
 """Parts of the operators: general interfaces, and exact algorithms against plain versions."""
 
 import random
+import warnings
 from collections import defaultdict
 
 import numpy as np
@@ -167,6 +168,33 @@ def test_raking_to_given_targets(spark):
     assert abs(sum(r["tokens"] * r["probability"] for r in out) - 25) < 1e-6
 
 
+def test_raking_goes_on_while_it_gains(spark):
+    """Sources that nearly fix the language: slow, but every marginal can be met."""
+    rnd = random.Random(1)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int((1_000_000 if i else 20_000_000) * (0.999 if j == i % 4 else 0.001 / 3) * rnd.uniform(0.1, 1)) + 1) for i in range(20) for j in range(4) for k in range(4)]
+    sized = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        out = mixing.rake(sized, Scratch(spark, "test")).collect()
+    total = sum(r["tokens"] for r in out)
+    for d in mixing.DIMENSIONS:
+        share, got = defaultdict(float), defaultdict(float)
+        for r in out:
+            share[r[d]] += r["tokens"] / total
+            got[r[d]] += r["tokens"] * r["factor"] / total
+        whole = sum(x ** mixing.TEMPER[d] for x in share.values())
+        assert max(abs(got[v] - x ** mixing.TEMPER[d] / whole) for v, x in share.items()) < 3e-8, d
+
+
+def test_raking_of_clashing_marginals_ends_with_a_warning(spark):
+    rows = [("x", "en", "note", 60), ("y", "de", "note", 40)]
+    sized = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    share = spark.createDataFrame([("en", 0.9), ("de", 0.1)], "value string, share double")
+    with pytest.warns(UserWarning, match="no longer shrinking"):
+        out = mixing.rake(sized, Scratch(spark, "test"), targets={"lang": share}).collect()
+    assert len(out) == 2
+
+
 def test_jumps_move_only_into_new_shards():
     keys = np.arange(20_000) * 7919
     for n in (1, 2, 16, 100):
