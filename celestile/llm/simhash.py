@@ -15,6 +15,12 @@ get the smallest id that can be reached over links.
   largest difference; survivors are verified on the bits.
 * Blocks over ``BLOCK`` fingerprints are dealt as pairs of chunks, each pair a group
   of its own; a group emits a spanning forest of its links, never all of them.
+
+``similar`` adds the pairs whose sets of shingles have a Jaccard similarity of
+``SIMILAR`` or more: candidates share one of ``BANDS`` bands of ``ROWS`` minima (at 0.8
+a pair shares none with a probability of 3e-5), differ in at most ``LOOSE`` bits of
+the wide fingerprint (four deviations over the average at 0.8), and are verified on
+the sets themselves.
 """
 
 from __future__ import annotations
@@ -38,6 +44,12 @@ PIVOTS = 16
 #: Fixed reference fingerprints: hashes of their own numbers.
 REFERENCES = np.array([xxhash.xxh64_intdigest(f"pivot {i}".encode(), 7) for i in range(PIVOTS)], dtype=np.uint64)
 _STEP = 1 << 16
+SIMILAR = 0.8
+BANDS, ROWS = 20, 4
+LOOSE = 64
+_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+#: Bytes of sets, or rows without them, that a task gathers before it works on whole groups.
+_HELD = 1 << 25
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,6 +87,19 @@ def wide(items: list[bytes]) -> list[int]:
     return np.packbits(2 * ones > len(items)).view(">i8").tolist()
 
 
+def shingle_set(items: list[bytes]) -> tuple[int, list[int], bytes]:
+    """Of the distinct items: a number of the set, its bands of minima (none without
+    items), and their sorted 32-bit hashes, packed."""
+    if not items:
+        return 0, [], b""
+    hashes = np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, items, repeat(SEED))), "<u8"))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at : at + 4096, None] * (_RANDOM[0] | np.uint64(1)) + _RANDOM[1]).min(axis=0))
+    bands = [signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), bands, np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -85,25 +110,29 @@ WIDE = ["c0", "c1", "c2", "c3"]
 
 def fingerprints(docs: DataFrame, width: int, check_width: int | None = None) -> DataFrame:
     """``(doc_id, fp)`` of every row. ``check_width`` adds the wide fingerprint ``c0`` to
-    ``c3`` of shingles of that width, and then ``fp`` is taken over distinct items."""
+    ``c3`` and the set (``sig``, ``bands``, ``items``) of shingles of that width, and then
+    ``fp`` is taken over distinct items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, chk = [], []
+            fp, chk, sets = [], [], []
             for text in batch.column("text"):
                 w = words(text.as_py())
                 items = shingles(w, width)
                 fp.append(signed(simhash(sorted(set(items)) if check_width else items)))
                 if check_width:
-                    chk.append(wide(shingles(w, check_width)))
+                    long = shingles(w, check_width)
+                    chk.append(wide(long))
+                    sets.append(shingle_set(long))
             cols = [batch.column("doc_id"), pa.array(fp, pa.int64())]
             names = ["doc_id", "fp"]
             if check_width:
                 cols += [pa.array(c, pa.int64()) for c in (zip(*chk) if chk else [[]] * len(WIDE))]
-                names += WIDE
+                cols += [pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+                names += [*WIDE, "sig", "bands", "items"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    kind = "doc_id long, fp long" + (", c0 long, c1 long, c2 long, c3 long" if check_width else "")
+    kind = "doc_id long, fp long" + (", c0 long, c1 long, c2 long, c3 long, sig long, bands array<long>, items binary" if check_width else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
 
@@ -215,7 +244,14 @@ def links(nodes: DataFrame, scratch: Scratch, max_distance: int, chk_distance: i
     keep = ["node", "fp"] + (WIDE if chk_distance is not None else [])
     choice = masks(max_distance, nodes.count())
     spread = nodes.select(*keep, F.posexplode(F.array(*[F.lit(m) for m in choice])).alias("t", "mask"))
-    spread = spread.select(*keep, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+    spread = chunked(spread.select(*keep, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k")), scratch, block)
+    order = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(REFERENCES[0])))))
+    dealt = spread.select("t", "k", "a", "b", *keep).repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", order)
+    return dealt.mapInArrow(_links(max_distance, chk_distance), "src long, dst long")
+
+
+def chunked(spread: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """``spread (t, k, node, ...)`` with the pair of chunks ``(a, b)`` that a row is dealt to."""
     large = scratch.save(spread.groupBy("t", "k").count().where(F.col("count") > block), "large-blocks")
     n_large = large.count()
     if n_large:
@@ -223,16 +259,120 @@ def links(nodes: DataFrame, scratch: Scratch, max_distance: int, chk_distance: i
         other = F.broadcast(large) if n_large <= 50_000 else large
         spread = spread.join(other, ["t", "k"], "left").withColumn("chunks", F.coalesce(F.ceil(F.col("count") / (block // 2)), F.lit(1)).cast("int"))
         spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        spread = spread.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
-    else:
-        spread = spread.withColumns({"a": F.lit(0), "b": F.lit(0)})
-    order = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(REFERENCES[0])))))
-    dealt = spread.select("t", "k", "a", "b", *keep).repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", order)
-    return dealt.mapInArrow(_links(max_distance, chk_distance), "src long, dst long")
+        return spread.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    return spread.withColumns({"a": F.lit(0), "b": F.lit(0)})
+
+
+_GROUP = ["t", "k", "a", "b"]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, each with where its groups begin and the last ends."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def cut(last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        nonlocal held, size
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([table[c].to_numpy().astype(np.int64) for c in _GROUP], axis=1)
+        edges = np.r_[0, np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1]
+        end = len(key) if last else int(edges[-1])
+        if end:
+            yield table.slice(0, end), np.r_[edges[edges < end], end]
+        held = table.slice(end).to_batches()
+        size = sum(b.nbytes for b in held)
+
+    limit = _HELD
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > limit:
+            yield from cut(False)
+            limit = max(_HELD, 2 * size)
+    if held:
+        yield from cut(True)
+
+
+def _pairs(chk: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group that belong to several roots and whose wide fingerprints are close."""
+    if len(root) > 1 and (root != root[0]).any():
+        for i in range(len(root) - 1):
+            j = i + 1 + np.nonzero(root[i + 1 :] != root[i])[0]
+            j = j[np.bitwise_count(chk[j] ^ chk[i]).sum(axis=1) <= LOOSE]
+            if len(j):
+                yield i, j
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([table[c].to_numpy() for c in WIDE], axis=1).view(np.uint64), table["root"].to_numpy()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a candidate in their group."""
+    for table, edges in _whole_groups(batches):
+        chk, root = _sides(table)
+        met = np.zeros(len(root), bool)
+        for x, y in zip(edges, edges[1:]):
+            for i, j in _pairs(chk[x:y], root[x:y]):
+                met[x + i] = met[x + j] = True
+        yield from table.filter(pa.array(met)).to_batches()
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest, between roots, of the pairs whose sets are similar."""
+    for table, edges in _whole_groups(batches):
+        chk, root = _sides(table)
+        items = table["items"]
+        left, right = [], []
+        for x, y in zip(edges, edges[1:]):
+            top: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while r in top:
+                    r = top[r]
+                return r
+
+            sets: dict[int, np.ndarray] = {}
+
+            def of(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.frombuffer(items[int(x + i)].as_py(), "<u4")
+                return sets[i]
+
+            for i, js in _pairs(chk[x:y], root[x:y]):
+                for j in js.tolist():
+                    p, q = find(int(root[x + i])), find(int(root[x + j]))
+                    if p == q:
+                        continue
+                    a, b = of(i), of(j)
+                    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+                        continue
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= SIMILAR * (len(a) + len(b) - both):
+                        top[max(p, q)] = min(p, q)
+                        left.append(p)
+                        right.append(q)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["src", "dst"])
+
+
+def similar(placed: DataFrame, prints: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """``(src, dst)`` of roots that hold texts whose sets of shingles are similar, of the
+    written ``placed (node, root, sig, bands, c0 to c3)``. Sets are dealt only to the
+    groups where they have a candidate of another root."""
+    keep = ["node", "root", "sig", *WIDE]
+    spread = placed.select(*keep, F.posexplode("bands").alias("t", "k"))
+    shared = spread.groupBy("t", "k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("t", "k")
+    spread = chunked(spread.join(scratch.save(shared, "bands"), ["t", "k"], "left_semi"), scratch, block)
+    dealt = lambda df, *more: df.select(*_GROUP, *keep, *more).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    kind = "t int, k long, a int, b int, node long, root long, sig long, c0 long, c1 long, c2 long, c3 long"
+    met = scratch.save(dealt(spread).mapInArrow(_meet, kind), "met")
+    sets = prints.select("sig", "items").join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("items").alias("items"))
+    return dealt(met.join(scratch.save(sets, "sets"), "sig"), "items").mapInArrow(_alike, "src long, dst long")
 
 
 def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: int = 4, check_width: int | None = None, check_distance: int | None = None) -> DataFrame:
-    """``(doc_id, fp[, c0 to c3], component_id)``, one row per row of ``docs``.
+    """``(doc_id, fp[, c0 to c3, sig], component_id)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest non-null doc_id that can be reached over links,
     the row's own included; null only if no row of the component has an id. Null and
@@ -242,18 +382,24 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: i
 
     With ``check_width`` the blocked fingerprint is taken over the distinct shingles
     of ``width`` words, and a link also needs the wide fingerprints of ``check_width``-word
-    shingles to differ in at most ``check_distance`` of 256 bits.
+    shingles to differ in at most ``check_distance`` of 256 bits, or else their sets of
+    those shingles to be similar (``similar``).
     """
     scratch = Scratch(spark, "simhash")
-    marks = ["fp", *WIDE] if check_width else ["fp"]
+    marks = ["fp", *WIDE, "sig"] if check_width else ["fp"]
     prints = scratch.save(fingerprints(docs, width, check_width), "prints")
-    nodes = prints.groupBy(*marks).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    more = [F.first("bands").alias("bands")] if check_width else []
+    nodes = prints.groupBy(*marks).agg(F.min("doc_id").alias("rep"), *more).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
     found = components(links(nodes, scratch, max_distance, check_distance), scratch)
-    placed = scratch.save(nodes.join(found, "node", "left").select(*marks, "rep", F.coalesce("root", "node").alias("root")), "placed")
+    rest = ["node", "bands"] if check_width else []
+    placed = scratch.save(nodes.join(found, "node", "left").select(*marks, *rest, "rep", F.coalesce("root", "node").alias("root")), "placed")
+    if check_width:
+        joined = components(similar(placed, prints, scratch), scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        placed = scratch.save(placed.join(joined, "root", "left").select(*marks, "rep", F.coalesce("top", "root").alias("root")), "joined")
     least = scratch.save(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = scratch.save(placed.join(least, "root").select(*marks, "component_id"), "named")
-    return prints.join(named, marks, "left")
+    return prints.drop("bands", "items").join(named, marks, "left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts are linked if the SimHashes of their sets of words differ in 8 bits of 64 or
     fewer, and those of their five-word shingles in 46 of 256 or fewer. Two texts that share
     a part ``s`` of their shingles differ in ``acos(2 * s / (1 + s)) / pi`` of the bits on
-    average: 39 of 256 at a similarity of 0.8, with a deviation of 6; 49 at 0.7.
+    average: 39 of 256 at a similarity of 0.8, with a deviation of 6; 49 at 0.7. Whatever
+    these say, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more are linked too: candidates from bands of minima, verified on the sets.
     """
     groups = simhash.groups(spark, docs, width=1, max_distance=8, check_width=5, check_distance=46)
     kept = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id")

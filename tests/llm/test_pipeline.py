@@ -1,5 +1,6 @@
 """The pipeline stage by stage against plain Python, on odd rows and on a small table."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -77,6 +78,24 @@ def test_near_copies(kept):
     assert got - lone == want and sum(lone.values()) <= sum(k is None for k, _ in docs)
 
 
+def test_near_copies_of_every_kind(spark):
+    """Appended, truncated and scattered edits against brute-force Jaccard."""
+    rnd = random.Random(5)
+    some = lambda n: [f"w{int(rnd.paretovariate(0.6)) % 30000}" for _ in range(n)]
+    texts = []
+    for n in range(60):
+        w = some(rnd.randint(60, 900))
+        cut = round(len(w) * rnd.uniform(0.1, 0.22))
+        spots = set(rnd.sample(range(len(w)), max(1, len(w) // 60)))
+        texts += [w, w + some(cut), w[:-cut], [f"x{i}" if i in spots else x for i, x in enumerate(w)]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark, docs, width=1, max_distance=8, check_width=5, check_distance=46).collect()}
+    sets = [set(simhash.shingles([x.encode() for x in w], 5)) for w in texts]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 60 and all(got[i] == got[j] for i, j in alike)
+    assert all(i // 4 == c // 4 for i, c in got.items())
+
+
 def test_leaks(spark, where, kept):
     bench = [tuple(r) for r in spark.read.parquet(f"{where}/benchmark.parquet").select("item_id", "text").collect()]
     m = decontaminate.Matcher([x for x in bench if x[1]])
