@@ -6,6 +6,9 @@ length are compared by containment: the share of the smaller sketch found in the
 other. The smallest hash is kept in any case, so only texts without words have an
 empty sketch. Columns and SQL functions only.
 
+A containment from ``m`` kept hashes is off by about ``sqrt(c * (1 - c) / m)``; a text of
+fewer than 40 shingles keeps fewer than 10 and is only roughly placed.
+
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, shingles five words in a row, or
 all of a shorter text. Nulls: a null text is an empty one; null ids come first.
 Sketches without a hash are alike (1) and unlike any other (0).
@@ -18,9 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from celestile.llm.scratch import Scratch
-
-FRACTION = 0.125
+FRACTION = 0.25
 WIDTH = 5
 
 
@@ -49,14 +50,18 @@ def hashes(text: Column, width: int = WIDTH) -> Column:
 
 def sketch(text: Column, fraction: float = FRACTION, width: int = WIDTH) -> Column:
     """The sorted set of hashes in the lowest ``fraction`` of the range, and the smallest."""
+    return F.array_sort(_let(hashes(text, width), lambda h: _kept(h, fraction)))
+
+
+def _kept(h: Column, fraction: float) -> Column:
     bound = min(-(1 << 63) + int(fraction * (1 << 64)), (1 << 63) - 1)
-    kept = lambda h: F.array_union(F.filter(h, lambda x: x < F.lit(bound)), F.filter(F.array(F.array_min(h)), lambda x: x.isNotNull()))
-    return F.array_sort(_let(hashes(text, width), kept))
+    return F.array_union(F.filter(h, lambda x: x < F.lit(bound)), F.filter(F.array(F.array_min(h)), lambda x: x.isNotNull()))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of two parts together, up to shingles that span both."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of all shingles of two parts, the same as from their shingles together: a
+    smallest hash over the bound goes if the other part has a smaller one."""
+    return F.array_sort(_let(F.array_union(a, b), lambda h: _kept(h, fraction)))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -71,15 +76,19 @@ def packed(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def _range(key: Column, splits: list[int]) -> Column:
-    """The number of splits at or below a key, by binary search in a literal array."""
-    if not splits:
-        return F.lit(0)
-    size = 1 << (len(splits)).bit_length()
-    table = F.array(*map(F.lit, splits))
+def order_key(doc_id: Column, text: Column) -> Column:
+    """A string that sorts as ids do, null first, and rows of one id by the beginning of their
+    texts; so many rows of one id can be cut into ranges."""
+    at = F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(at, F.lit("!")), F.hex(F.encode(F.left(text, F.lit(32)), "utf-8")))
+
+
+def _range(key: Column, heads: Column, n: int) -> Column:
+    """The number of the last of ``n`` sorted heads at or below a key, by binary search."""
+    size = 1 << n.bit_length()
     steps = F.array(*(F.lit(size >> (i + 1)) for i in range(size.bit_length() - 1)))
-    reach = lambda at, step: F.when((at + step <= len(splits)) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at)
-    return F.coalesce(F.aggregate(steps, F.lit(0), reach), F.lit(0))
+    reach = lambda at, step: F.when((at + step < n) & (F.get(heads, at + step) <= key), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), reach)
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -87,27 +96,26 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     sketch of the next row in ascending doc_id order (of equal ids by text); after the
     last comes the first.
 
-    One exchange of the texts, by ranges of doc_id. The first rows of a range also go to
-    the range before it, as guests that end it; which rows these are is known from the
-    ids alone.
+    One exchange of the texts, each range of ids to a partition of its own. The first rows of
+    a range also go to the range before it, as guests that end it. The driver holds the first
+    key of each range, one for each partition; only rows of one id whose texts begin with the
+    same 32 characters can't be parted.
     """
-    spark = docs.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = Scratch(spark, "sketch")
-    ids = docs.select(F.col("doc_id").cast("long"))
-    splits = sorted({int(x) for x in ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1})
-    at = _range(F.col("doc_id"), splits)
-    firsts = sorted((r["at"], r["first"]) for r in scratch.save(ids.select("doc_id", at.alias("at")).groupBy("at").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")), "firsts").collect())  # a row for each range
+    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"at": at, "own": sketch(F.col("text"))})
-    before = {a: firsts[i - 1][0] for i, (a, _) in enumerate(firsts)}
-    guest = F.lit(None).cast("int")
-    for a, first in firsts:
-        guest = F.when((F.col("at") == a) & F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.lit(before[a])).otherwise(guest)
-    spread = rows.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("range"), F.lit(1).alias("guest")))))))
-    w = Window.partitionBy("to.range").orderBy("to.guest", F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.withColumn("key", order_key(F.col("doc_id"), F.col("text")))
+    dealt = rows.select("key").repartitionByRange(n, "key").select("key", F.spark_partition_id().alias("part"))
+    firsts = sorted(r["first"] for r in dealt.groupBy("part").agg(F.min("key").alias("first")).collect())  # a row for each range
+    k = max(1, len(firsts))
+    heads = F.split(F.lit(",".join(firsts)), ",")
+    rows = rows.withColumn("at", _range(F.col("key"), heads, k))
+    guest = F.when(F.get(heads, F.col("at")) == F.col("key"), F.struct(((F.col("at") + k - 1) % k).alias("range"), F.lit(1).alias("guest")))
+    both = F.array_compact(F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("guest")), guest))
+    spread = rows.select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.range", "to.guest")
+    spread = spread.repartitionById(k, F.col("range")).withColumn("own", sketch(F.col("text")))
+    w = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     out = spread.withColumns({"next_text": F.lead("text").over(w), "next_own": F.lead("own").over(w)})
-    return out.where("to.guest = 0").select("doc_id", "text", "own", "next_text", "next_own")
+    return out.where("guest = 0").select("doc_id", "text", "own", "next_text", "next_own")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

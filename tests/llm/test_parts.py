@@ -201,3 +201,24 @@ def test_jumps_move_only_into_new_shards():
         a, b = sharding.jump(keys, n), sharding.jump(keys, n + 1)
         moved = a != b
         assert (b[moved] == n).all() and abs(moved.mean() - 1 / (n + 1)) < 0.02 and a.max() < n
+
+
+def test_next_rows_with_more_ranges_than_rows(spark):
+    """Many ranges, one id in many rows, null ids: each row meets the next, the last the first."""
+    rows = [(i // 3 if i % 11 else None, f"text {i % 40} " + "w " * (i % 7)) for i in range(120)] + [(5, None)] * 3 + [(7, f"hot {i:04d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    for parts in (1, 3, 1500):
+        got = sketch.with_next(df, parts)
+        assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in got.select("doc_id", "text", "next_text").collect()) == want, parts
+
+
+def test_sketches_of_parts_merge_to_that_of_the_whole(spark):
+    """Also where a part has no hash under the bound."""
+    rnd = random.Random(2)
+    rows = [(" ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 12))), " ".join(f"v{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 40)))) for _ in range(200)]
+    a, b = sketch.hashes(F.col("a")), sketch.hashes(F.col("b"))
+    whole = F.array_sort(sketch._kept(F.array_distinct(F.concat(a, b)), sketch.FRACTION))
+    df = spark.createDataFrame(rows, "a string, b string").select(sketch.merge(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("m"), whole.alias("w"))
+    assert all(r["m"] == r["w"] for r in df.collect())
