@@ -31,23 +31,20 @@ STRIDE = 1000
 STRIPE = 16 << 20
 SCHEMA = "doc_id long, part int, base long, n_tokens int, ids array<int>"
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 23
 
 
 def _encoder(path: str, end: int):
-    tail = np.array([end], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, base = opened(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             texts = whole.column("text")
             for at, to in runs(texts, AT_ONCE):
-                ids = [x + tail for x in enc.encode([t or "" for t in texts[at:to].to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                offsets = np.r_[0, np.cumsum(sizes)]
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+                flat, ends = enc.encode_column(texts[at:to])
+                flat = np.insert(flat, ends[1:], end)
+                offsets = ends + np.arange(len(ends))
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column("doc_id")[at:to], pa.array(np.full(to - at, part, np.int32)), pa.array(base + offsets[:-1]), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
+                    [whole.column("doc_id")[at:to], pa.array(np.full(to - at, part, np.int32)), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))],
                     ["doc_id", "part", "base", "n_tokens", "ids"],
                 )
                 base += int(offsets[-1])

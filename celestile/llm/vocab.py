@@ -25,6 +25,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 ROOM = 800_000
@@ -35,6 +37,7 @@ PLAIN = re.compile(rf"([{_LETTERS}]+)([{MARKS}]?)")
 #: Without apostrophes (contractions) and angle brackets (special strings), these letters, digits
 #: and marks are pre-tokens by kind.
 SIMPLE = re.compile(rf"[{_LETTERS}0-9!-&(-/:;=?@\[-`{{-~]+")
+_ENDS = f"([{_LETTERS}])([{MARKS}])( |$)"
 SPLIT = {"words": re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+"), "gpt2": re.compile(rf"[{_LETTERS}]+|[0-9]+|[^{_LETTERS}0-9]+")}
 _OPEN: dict[str, Encoder] = {}
 
@@ -105,45 +108,64 @@ class Encoder:
             lead = ""
         return out
 
-    def _fill(self, parts: set[str], lead: str) -> None:
+    def _fill(self, parts: list[str] | set[str], lead: str) -> None:
         """Encode the parts not known yet; each stands after ``lead``."""
         if len(self.parts) > ROOM // 2:  # what comes up again is taken over from the older half
             self.older, self.parts = self.parts, {}
-        known, older, table, other = self.parts, self.older, self.bytes_of, []
-        for p in parts.difference(known):
+        known, older, table, tokenize, other = self.parts, self.older, self.bytes_of, self.model.tokenize, []
+        head, lower = self.lead, self.kind == "words"
+        for p in [p for p in parts if p not in known]:
             got = older.get(p)
-            if got is not None:
-                known[p] = got
-                continue
-            m = PLAIN.fullmatch(p)
-            if not m:
-                if SIMPLE.fullmatch(p):
-                    known[p] = self._simple(p)
+            if got is None:
+                if p.isascii() and p.isalpha():  # one pre-token in both families
+                    got = b"".join([table[t.id] for t in tokenize(head + (p.lower() if lower else p))])
+                elif m := PLAIN.fullmatch(p):
+                    got = self._stem(m[1]) + self.marks[m[2]]
+                elif SIMPLE.fullmatch(p):
+                    got = self._simple(p)
                 else:
                     other.append(p)
-                continue
-            # A Latin word is one pre-token, a lone mark after it another, in both families.
-            stem, mark = m.groups()
-            if self.kind == "words":
-                stem = stem.lower()
-            got = known.get(stem) or older.get(stem)
-            if got is None:
-                raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTES)
-                got = b"".join([table[t.id] for t in self.model.tokenize(self.lead + raw)])
-                known[stem] = got
-            if p != stem:
-                known[p] = got + self.marks[mark]
+                    continue
+            known[p] = got
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
             known.update(zip(some, self._library([lead + p for p in some])))
 
+    def _stem(self, stem: str) -> bytes:
+        """A Latin word is one pre-token, a lone mark after it another, in both families."""
+        got = self.parts.get(stem) or self.older.get(stem)
+        if got is None:
+            low = stem.lower() if self.kind == "words" else stem
+            raw = low if low.isascii() else low.encode().decode("latin-1").translate(BYTES)
+            self.parts[stem] = got = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(self.lead + raw)])
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        flat, ends = self.encode_column(pa.array(texts, pa.string()))
+        whole, at = flat.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [whole[x:y] for x, y in zip(at, at[1:])]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin; the end of all last.
+        Texts are cut, numbered and put together in Arrow; only distinct parts are Python's."""
+        texts = pc.fill_null(texts, "")
         if self.kind != "words":
-            return self._library(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self._fill(set().union(*split), "")
-        return [b"".join(map(self.parts.__getitem__, s)) for s in split]
+            got = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(got), "<u4").astype(np.int32), np.cumsum([0, *(len(x) // 4 for x in got)])
+        # Without special strings A-Z can be lowered first, and a mark between a letter and a space is a part.
+        texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), _ENDS, r"\1 \2\3")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._fill(kinds, "")
+        got = list(map(self.parts.__getitem__, kinds))
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        of_kind = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(got), "<i4")))
+        flat = of_kind.take(coded.indices).flatten().to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()])]
+        return flat, ends[cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """For ``gpt2``: where each part of the text begins, and its number of tokens.
