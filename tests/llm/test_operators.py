@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
@@ -57,19 +58,110 @@ def test_op2(spark, where):
     assert order == [i for i, _ in by_id([(x, 0) for x in order])]
 
 
-def test_op3(spark, where):
-    got = rows(Q.QUERIES["op3_suffix_tree"](spark, where).drop("score"))
+def tree_scores(docs, out, p_min, depth):
+    """Scores of a suffix tree built in plain dictionaries, by the definition. ``docs`` are lists of
+    words with the end last."""
+    train = [d for d, o in zip(docs, out) if not o]
+    n = sum(map(len, train))
+    word = Counter(w for d in train for w in d)
+    v = len(word)
+    least = max(2, math.ceil(p_min * n))
+    p0 = lambda w: (word[w] + 1) / (n + v + 1)
+    often = {w for w in word if word[w] >= least} | {b" "}
+    few = v - len(often & set(word)) + 1
+    rare = max(n - sum(word[w] for w in often) + few, 1) / max(few, 1) / (n + v + 1)
+    after = [defaultdict(Counter) for _ in range(depth + 1)]
+    for d in train:
+        for i, w in enumerate(d):
+            for k in range(1, min(i, depth) + 1):
+                after[k][tuple(d[i - k : i])][w] += 1
+    count = [Counter(w for d in train for w in d)] + [Counter(tuple(d[i : i + k]) for d in train for i in range(len(d) - k + 1)) for k in range(1, depth + 1)]
+    in_top = lambda c: all(w in often for w in c) and (len(c) == 1 or count[len(c)][c] >= least)
+
+    def state(c, seen, whole, parent):
+        kinds, other = len(seen), whole - sum(seen.values())
+        if not kinds or whole < 2 and not in_top(c):
+            return None
+        ratio = sum(x * math.log(x / whole / parent(w)) for w, x in seen.items())
+        if other:
+            ratio += other * math.log(other / whole / max(1 - sum(parent(w) for w in seen), 1e-12))
+        return (kinds + other, whole + kinds) if ratio >= 0.5 * kinds * math.log(max(n, 2)) else None
+
+    memo = {}
+
+    def p(c, w, root):
+        """After context ``c``; ``root`` is the probability of a word outside the top."""
+        if (c, w, root) in memo:
+            return memo[c, w, root]
+        if not c:
+            got = p0(w) if w in often else root
+        else:
+            top = in_top(c)
+            nexts = after[len(c)].get(c, Counter())
+            seen = {x: y for x, y in nexts.items() if not top or y >= least and x in often}
+            whole = count[len(c)][c] if top else sum(nexts.values())
+            if (c, "state") not in memo:
+                memo[c, "state"] = state(c, seen, whole, lambda x: p(c[1:], x, rare))
+            held, before = memo[c, "state"], p(c[1:], w, root)
+            got = before if not held else (seen.get(w, 0) + held[0] * before) / held[1] if w in seen or not top else held[0] / held[1] * before
+        memo[c, w, root] = got
+        return got
+
+    scores = []
+    for d in docs:
+        total = 0.0
+        for i, w in enumerate(d):
+            top = 0
+            while top < min(i, depth) and in_top(tuple(d[i - top - 1 : i])):
+                top += 1
+            c = tuple(d[max(0, i - depth) : i])
+            if w in often:
+                total += math.log10(p(c, w, None))
+            else:  # below the top rare words count as an average one, unless no subtree says more
+                under, alone = p(c, w, rare), p(tuple(d[i - top : i]), w, rare)
+                total += math.log10(under) if abs(math.log10(under / alone)) > 1e-9 else math.log10(p(tuple(d[i - top : i]), w, p0(w)))
+        scores.append(total)
+    return scores
+
+
+@pytest.mark.parametrize("p_min", [1e-6, 2e-3, 0.5])
+def test_op3(spark, where, p_min):
+    from celestile.llm import suffix_tree
+
+    if p_min == suffix_tree.P_MIN:
+        df = Q.QUERIES["op3_suffix_tree"](spark, where)
+    else:
+        df = suffix_tree.scored(spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text", suffix_tree.held_out(F.col("doc_id")).alias("held_out")), p_min)
     docs = documents(where)
     split = [((t or "").encode().lower().split() + [b" "]) for _, t in docs]
     out = [zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2 for i, _ in docs]
     c = Counter(w for s, o in zip(split, out) if not o for w in s)
     n, v = sum(c.values()), len(c)
-    want = []
-    for (i, _), s, o in zip(docs, split, out):
-        want.append((i, o, len(s), sum(1 for w in s if c[w]), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s)))
+    scores = tree_scores(split, out, p_min, suffix_tree.DEPTH)
+    want = [(i, o, len(s), sum(1 for w in s if c[w]), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s), x) for (i, _), s, o, x in zip(docs, split, out, scores)]
     want.sort(key=key)
+    got = rows(df)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-12)
+    # Probabilities enter a subtree in steps of 1/4096.
+    assert all(abs(g[6] - w[6]) <= 1e-9 + 1.3e-4 * w[2] for g, w in zip(got, want))
+    assert len(want) < 100 or sum(r[6] for r in want) > sum(r[5] for r in want)
+
+
+def test_op3_control_words(spark):
+    """Words of control bytes sort before a space and are often used; the end keeps its number."""
+    from celestile.llm import suffix_tree
+
+    texts = [f"\x01 \x02 a{i % 3} \x01 b \x1f" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    split = [t.encode().split() + [b" "] for t in texts]
+    out = [i % 5 == 0 for i in range(40)]
+    c = Counter(w for s, o in zip(split, out) if not o for w in s)
+    n, v = sum(c.values()), len(c)
+    for p_min in (1e-6, 0.1):
+        got = sorted(tuple(r) for r in suffix_tree.scored(df, p_min).collect())
+        assert np.allclose([r[5] for r in got], [sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s) for s in split])
+        assert np.allclose([r[6] for r in got], tree_scores(split, out, p_min, suffix_tree.DEPTH), atol=2e-3)
 
 
 def test_op4(spark, where):
