@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -35,7 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from celestile.llm.batches import coded, runs
 from celestile.llm.graph import components
+from celestile.llm.packed import mix
 from celestile.llm.scratch import Scratch
 
 SEED = 42
@@ -77,27 +80,61 @@ def simhash(items: list[bytes]) -> int:
     return value
 
 
-def wide(items: list[bytes]) -> list[int]:
-    """A SimHash of 256 bits, as four signed numbers: two 128-bit hashes of each item."""
-    ones = np.zeros(256, dtype=np.int64)
-    for at in range(0, len(items), _STEP):
-        some = items[at : at + _STEP]
-        halves = [np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some, repeat(seed))), np.uint8).reshape(-1, 16) for seed in (1, 2)]
-        ones += np.unpackbits(np.concatenate(halves, axis=1), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(items)).view(">i8").tolist()
-
-
-def shingle_set(items: list[bytes]) -> tuple[int, list[int], bytes]:
-    """Of the distinct items: a number of the set, its bands of minima (none without
-    items), and their sorted 32-bit hashes, packed."""
-    if not items:
-        return 0, [], b""
-    hashes = np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, items, repeat(SEED))), "<u8"))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * (_RANDOM[0] | np.uint64(1)) + _RANDOM[1]).min(axis=0))
-    bands = [signed(xxhash.xxh64_intdigest(x.tobytes(), i)) for i, x in enumerate(least.reshape(BANDS, ROWS))]
-    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), bands, np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+@dataclass
+class Sets:
+    """Sets of shingles of some texts, in the order of the texts."""
+
+    fp: np.ndarray
+    #: SimHashes of 256 bits, four numbers each
+    wide: np.ndarray
+    #: a number of each set
+    sig: np.ndarray
+    #: bands of minima, none without shingles
+    bands: np.ndarray
+    #: sorted 32-bit hashes of all sets in a row, and where each text's begin
+    items: np.ndarray
+    at: np.ndarray
+
+
+def sets(texts: pa.Array, width: int) -> Sets:
+    """Of the distinct shingles of each text, all from one 64-bit hash of each: hashes of the hashes of
+    their words."""
+    ids, hashes, sizes = coded(texts)
+    h, n, words = hashes[ids], len(sizes), sizes - 1
+    begin = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(n), sizes)
+    nth = np.arange(len(ids)) - begin[doc]
+    head = np.nonzero(nth + width <= words[doc])[0]
+    s = np.zeros(len(head), np.uint64)
+    for k in range(width):
+        s = mix(s * np.uint64(3) + h[head + k])
+    short = np.nonzero((words > 0) & (words < width))[0]
+    t = np.zeros(len(short), np.uint64)
+    for k in range(width - 1):
+        t = np.where(k < words[short], mix(t * np.uint64(3) + h[np.minimum(begin[short] + k, len(h) - 1)]), t)
+    s, doc = np.r_[s, t], np.r_[doc[head], short]
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
+    s, doc = s[new], doc[new]
+    count = np.bincount(doc, minlength=n)
+    ones, least, total = np.zeros((n, 320), np.int32), np.full((n, BANDS * ROWS), np.iinfo(np.uint64).max, np.uint64), np.zeros(n, np.uint64)
+    for a in range(0, len(s), 1 << 13):
+        x, d = s[a : a + (1 << 13)], doc[a : a + (1 << 13)]
+        at = np.r_[0, np.nonzero(d[1:] != d[:-1])[0] + 1]
+        own = d[at]
+        spread = np.stack([x, *(mix(x + np.uint64(i)) for i in range(1, 5))], axis=1)
+        ones[own] += np.add.reduceat(np.unpackbits(spread.astype(">u8").view(np.uint8), axis=1), at, axis=0, dtype=np.int32)
+        least[own] = np.minimum(least[own], np.minimum.reduceat(x[:, None] * (_RANDOM[0] | np.uint64(1)) + _RANDOM[1], at, axis=0))
+        total[own] += np.add.reduceat(mix(x + np.uint64(5)), at)
+    bits = np.packbits(2 * ones > count[:, None], axis=1).view(">u8").astype(np.uint64)
+    bands = np.zeros((n, BANDS), np.uint64)
+    for i in range(ROWS):
+        bands = mix(bands * np.uint64(3) + least[:, i::ROWS][:, :BANDS])
+    high = (s >> np.uint64(32)).astype("<u4")
+    one = np.r_[True, (high[1:] != high[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
+    at = np.r_[0, np.cumsum(np.bincount(doc[one], minlength=n))]
+    return Sets(bits[:, 0], bits[:, 1:], np.where(count > 0, mix(total + count.astype(np.uint64)), 0), bands, high[one], at)
 
 
 def signed(x: int) -> int:
@@ -108,31 +145,31 @@ def signed(x: int) -> int:
 WIDE = ["c0", "c1", "c2", "c3"]
 
 
-def fingerprints(docs: DataFrame, width: int, check_width: int | None = None) -> DataFrame:
-    """``(doc_id, fp)`` of every row. ``check_width`` adds the wide fingerprint ``c0`` to
-    ``c3`` and the set (``sig``, ``bands``, ``items``) of shingles of that width, and then
-    ``fp`` is taken over distinct items."""
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, fp)`` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = [signed(simhash(shingles(words(text.as_py()), width))) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+
+
+def set_prints(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, fp, c0 to c3, sig, bands, items)`` of every row, from its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, chk, sets = [], [], []
-            for text in batch.column("text"):
-                w = words(text.as_py())
-                items = shingles(w, width)
-                fp.append(signed(simhash(sorted(set(items)) if check_width else items)))
-                if check_width:
-                    long = shingles(w, check_width)
-                    chk.append(wide(long))
-                    sets.append(shingle_set(long))
-            cols = [batch.column("doc_id"), pa.array(fp, pa.int64())]
-            names = ["doc_id", "fp"]
-            if check_width:
-                cols += [pa.array(c, pa.int64()) for c in (zip(*chk) if chk else [[]] * len(WIDE))]
-                cols += [pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.binary()))]
-                names += [*WIDE, "sig", "bands", "items"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    kind = "doc_id long, fp long" + (", c0 long, c1 long, c2 long, c3 long, sig long, bands array<long>, items binary" if check_width else "")
+            for x, y in runs(batch.column("text"), 1 << 22):
+                got = sets(batch.column("text")[x:y], width)
+                whole = lambda a: pa.array(np.ascontiguousarray(a).view(np.int64))
+                full = np.diff(got.at) > 0
+                bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full * BANDS)].astype(np.int32)), whole(got.bands[full].ravel()))
+                items = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer((4 * got.at).astype(np.int32)), pa.py_buffer(got.items.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[x:y], whole(got.fp), *(whole(got.wide[:, i]) for i in range(4)), whole(got.sig), bands, items], ["doc_id", "fp", *WIDE, "sig", "bands", "items"])
+
+    kind = "doc_id long, fp long, c0 long, c1 long, c2 long, c3 long, sig long, bands array<long>, items binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
 
@@ -371,7 +408,7 @@ def similar(placed: DataFrame, prints: DataFrame, scratch: Scratch, block: int =
     return dealt(met.join(scratch.save(sets, "sets"), "sig"), "items").mapInArrow(_alike, "src long, dst long")
 
 
-def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: int = 4, check_width: int | None = None, check_distance: int | None = None) -> DataFrame:
+def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: int = 4, check_distance: int | None = None) -> DataFrame:
     """``(doc_id, fp[, c0 to c3, sig], component_id)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest non-null doc_id that can be reached over links,
@@ -380,21 +417,20 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: i
     repeated ids are kept as they are; other columns are ignored; an empty table
     gives an empty result.
 
-    With ``check_width`` the blocked fingerprint is taken over the distinct shingles
-    of ``width`` words, and a link also needs the wide fingerprints of ``check_width``-word
-    shingles to differ in at most ``check_distance`` of 256 bits, or else their sets of
-    those shingles to be similar (``similar``).
+    With ``check_distance`` all is taken from the distinct shingles: a link needs the
+    fingerprints to differ in at most ``max_distance`` bits and the wide ones in at most
+    ``check_distance`` of 256, or else the sets to be similar (``similar``).
     """
     scratch = Scratch(spark, "simhash")
-    marks = ["fp", *WIDE, "sig"] if check_width else ["fp"]
-    prints = scratch.save(fingerprints(docs, width, check_width), "prints")
-    more = [F.first("bands").alias("bands")] if check_width else []
+    marks = ["fp"] if check_distance is None else ["fp", *WIDE, "sig"]
+    prints = scratch.save(fingerprints(docs, width) if check_distance is None else set_prints(docs, width), "prints")
+    more = [] if check_distance is None else [F.first("bands").alias("bands")]
     nodes = prints.groupBy(*marks).agg(F.min("doc_id").alias("rep"), *more).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
     found = components(links(nodes, scratch, max_distance, check_distance), scratch)
-    rest = ["node", "bands"] if check_width else []
+    rest = [] if check_distance is None else ["node", "bands"]
     placed = scratch.save(nodes.join(found, "node", "left").select(*marks, *rest, "rep", F.coalesce("root", "node").alias("root")), "placed")
-    if check_width:
+    if check_distance is not None:
         joined = components(similar(placed, prints, scratch), scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
         placed = scratch.save(placed.join(joined, "root", "left").select(*marks, "rep", F.coalesce("top", "root").alias("root")), "joined")
     least = scratch.save(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -48,14 +49,16 @@ def test_toxicity(spark, where, kept):
     assert bag(kept[1], "doc_id", "text") == want
 
 
+def alike(texts):
+    """Pairs of texts whose sets of five-word shingles, as strings, have a Jaccard similarity of 0.8 or more."""
+    sets = [set(simhash.shingles(simhash.words(t), 5)) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b) if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) else False
+    return [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or near(sets[i], sets[j])]
+
+
 def test_near_copies(kept):
     """All pairs, by the definition."""
     docs = [tuple(r) for r in kept[1].select("doc_id", "text").collect()]
-    fp, chk = [], []
-    for _, text in docs:
-        w = simhash.words(text)
-        fp.append(simhash.simhash(sorted(set(w))))
-        chk.append(np.array(simhash.wide(simhash.shingles(w, 5)), dtype=np.int64).view(np.uint64))
     top = list(range(len(docs)))
 
     def find(x):
@@ -63,19 +66,15 @@ def test_near_copies(kept):
             x = top[x]
         return x
 
-    chk = np.stack(chk)
-    for i in range(len(docs)):
-        near = np.bitwise_count(chk[:i] ^ chk[i]).sum(axis=1) <= 46
-        for j in np.nonzero(near)[0]:
-            if (fp[i] ^ fp[j]).bit_count() <= 8:
-                top[find(i)] = find(j)
+    found = simhash.sets(pa.array([t for _, t in docs], pa.string()), 5)
+    close = [(i, j) for j in range(len(docs)) for i in range(j) if (int(found.fp[i]) ^ int(found.fp[j])).bit_count() <= 4 and np.bitwise_count(found.wide[i] ^ found.wide[j]).sum() <= 46]
+    for i, j in alike([t for _, t in docs]) + close:
+        top[find(i)] = find(j)
     groups = defaultdict(list)
     for i, (k, _) in enumerate(docs):
         groups[find(i)].append(k)
-    want = Counter(min(x for x in g if x is not None) for g in groups.values() if any(x is not None for x in g))
-    got = Counter(r[0] for r in kept[2].select("doc_id").collect())
-    lone = Counter({k: n for k, n in got.items() if k is None})
-    assert got - lone == want and sum(lone.values()) <= sum(k is None for k, _ in docs)
+    want = Counter(min((x for x in g if x is not None), default=None) for g in groups.values())
+    assert Counter(r[0] for r in kept[2].select("doc_id").collect()) == want
 
 
 def test_near_copies_of_every_kind(spark):
@@ -88,14 +87,28 @@ def test_near_copies_of_every_kind(spark):
         cut = round(len(w) * rnd.uniform(0.1, 0.22))
         spots = set(rnd.sample(range(len(w)), max(1, len(w) // 60)))
         texts += [w, w + some(cut), w[:-cut], [f"x{i}" if i in spots else x for i, x in enumerate(w)]]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark, docs, width=1, max_distance=8, check_width=5, check_distance=46).collect()}
-    sets = [set(simhash.shingles([x.encode() for x in w], 5)) for w in texts]
-    alike = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len(alike) > 60 and all(got[i] == got[j] for i, j in alike)
+    texts = [" ".join(w) for w in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark, docs, width=5, max_distance=4, check_distance=46).collect()}
+    pairs = alike(texts)
+    assert len(pairs) > 60 and all(got[i] == got[j] for i, j in pairs)
     assert all(i // 4 == c // 4 for i, c in got.items())
 
 
+def test_sets_in_pieces():
+    """Prints of long texts, cut on the way, and of none."""
+    rnd = random.Random(1)
+    texts = [" ".join(str(rnd.randint(0, 50)) for _ in range(n)) for n in (30_000, 0, 3, 4, 5, 9_000, 1)] + [None, " A b\tc  d E f"]
+    whole = simhash.sets(pa.array(texts, pa.string()), 5)
+    for i, t in enumerate(texts):
+        one = simhash.sets(pa.array([t], pa.string()), 5)
+        w = simhash.shingles(simhash.words(t), 5)
+        assert whole.at[i + 1] - whole.at[i] == one.at[1] == len(set(w))
+        for a, b in ((whole.fp, one.fp), (whole.wide, one.wide), (whole.sig, one.sig), (whole.bands, one.bands)):
+            assert (a[i] == b[0]).all()
+    assert whole.sig[1] == 0 and len(set(whole.sig.tolist())) == len(texts) - 1
+
+
 def test_leaks(spark, where, kept):
     bench = [tuple(r) for r in spark.read.parquet(f"{where}/benchmark.parquet").select("item_id", "text").collect()]
     m = decontaminate.Matcher([x for x in bench if x[1]])
