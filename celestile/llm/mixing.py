@@ -50,20 +50,20 @@ def draw(doc_id: Column) -> Column:
 
 
 def rake(sized: DataFrame, scratch: Scratch, dims: tuple[str, ...] = DIMENSIONS, temper: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, tolerance: float = TOLERANCE) -> DataFrame:
-    """``(*dims, tokens, factor, probability)`` of each cell of ``sized (*dims, tokens)``.
+    """``(*dims, tokens, factor, met, probability)`` of each cell of ``sized (*dims, tokens)``.
 
     ``targets`` may give ``(value, share)`` for a dimension; a value it lacks gets no
     weight. Other dimensions follow ``temper``. A value whose goal is met by nothing is
     left out of the fit. Rounds go on until every marginal is met within ``tolerance``.
     Marginals that no weights can meet together never are: once the deviation has stopped
     shrinking for ``PATIENCE`` rounds the weights stand as they are, exact in the last
-    dimension, with a warning.
+    dimension, with ``met`` false and a warning.
     """
     temper, targets = TEMPER | (temper or {}), targets or {}
     cells = scratch.save(sized.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).withColumn("factor", F.lit(1.0)), "cells")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return cells.withColumn("probability", F.lit(float(keep)))
+        return cells.withColumns({"met": F.lit(True), "probability": F.lit(float(keep))})
     goals = {}
     for d in dims:
         have = cells.groupBy(d).agg(F.sum("tokens").alias("n")).where("n > 0")
@@ -106,19 +106,20 @@ def rake(sized: DataFrame, scratch: Scratch, dims: tuple[str, ...] = DIMENSIONS,
         if n == full or not rest:
             break
         full, level = n, max(level, (wanted - sure) / rest)
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * F.lit(level)))
+    return cells.withColumns({"met": F.lit(off <= tolerance), "probability": F.least(F.lit(1.0), F.col("factor") * F.lit(level))})
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``tokens`` and ``topic``, columns of these names replaced."""
-    docs = docs.withColumn("tokens", n_words(F.col("text")))
-    return docs.withColumn("topic", topic_of(F.coalesce("text", F.lit("")), F.col("tokens")))
+def sized(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """``docs`` with ``tokens`` and ``topic``, columns of these names replaced. ``topic`` is an
+    expression on ``docs``; without one texts are told apart by their shape."""
+    topic = topic_of(F.coalesce("text", F.lit("")), n_words(F.col("text"))) if topic is None else topic
+    return docs.withColumns({"tokens": n_words(F.col("text")), "topic": topic})
 
 
 def drawn(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """``rows (doc_id, *dims, ...)`` with ``probability`` and ``selected``. The join with
     the cells is broadcast by Spark only under its size limit."""
-    c = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "probability")
+    c = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "met", "probability")
     on = [rows[d].eqNullSafe(c[f"_{d}"]) for d in DIMENSIONS]
     out = rows.join(c, on, "left").drop(*(f"_{d}" for d in DIMENSIONS))
     return out.withColumn("selected", draw(F.col("doc_id")) < F.col("probability"))
@@ -141,4 +142,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scratch.save(sized(docs.select("doc_id", "text", "source", "lang")).drop("text"), "sized")
     cells = scratch.save(rake(rows, scratch), "raked")
     out = drawn(rows, cells)
-    return out.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "selected")
+    return out.select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "selected", F.col("met").alias("targets_met"))

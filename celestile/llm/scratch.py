@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, a
-    single machine) a temporary one is chosen and kept in the session."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset on a single machine (tests) a
+    temporary one is chosen and kept in the session. On a cluster it must be set: each
+    machine would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: {master} needs a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="celestile-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -39,11 +39,14 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return b
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    @F.pandas_udf("int")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def shards_of(key: Column, shards: int) -> Column:
+    """A struct of the ``shard`` of each key, and ``grown_shard`` with one shard more."""
+
+    @F.pandas_udf("shard int, grown_shard int")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for k in parts:
-            yield pd.Series(jump(k.to_numpy(np.int64), shards).astype(np.int32))
+            keys = k.to_numpy(np.int64)
+            yield pd.DataFrame({"shard": jump(keys, shards).astype(np.int32), "grown_shard": jump(keys, shards + 1).astype(np.int32)})
 
     return of(F.coalesce(key.cast("long"), F.lit(0)))
 
@@ -64,7 +67,7 @@ def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
-    rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
+    rows = rows.withColumn("to", shards_of(F.col("doc_id"), shards)).select("doc_id", "size", "text_crc32", "to.shard", "to.grown_shard")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
     out = with_slots(rows, scratch, ["doc_id", "text_crc32", "size"], parts)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

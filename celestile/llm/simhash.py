@@ -8,8 +8,8 @@ get the smallest id that can be reached over links.
   ``max_distance + r`` runs, and two linked fingerprints agree on at least ``r`` of
   them, so sharing the runs of one of the ``C(max_distance + r, r)`` choices loses
   no link. ``r`` follows from the number of fingerprints alone, by cost.
-* Inside a block a table of Hamming distances to ``PIVOTS`` reference fingerprints
-  discards pairs: by the triangle inequality a linked pair differs by at most
+* A table holds the Hamming distances of each fingerprint to ``PIVOTS`` reference fingerprints, found
+  once. Inside a block it discards pairs: by the triangle inequality a linked pair differs by at most
   ``max_distance`` in every coordinate. The block is sorted by the first
   coordinate, so whole runs of pairs are never formed; the others discard by the
   largest difference; survivors are verified on the bits.
@@ -28,12 +28,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from celestile.llm.batches import coded, runs
@@ -141,6 +142,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: The columns of the pivot distance table.
+TABLE = [f"p{i}" for i in range(PIVOTS // 8)]
 #: The columns of a wide fingerprint.
 WIDE = ["c0", "c1", "c2", "c3"]
 
@@ -192,11 +195,16 @@ def masks(max_distance: int, n: int) -> list[int]:
     return [signed(sum(of_run[i] for i in c)) for c in combinations(range(runs), r)]
 
 
-def _forest(group: np.ndarray, node: np.ndarray, fp: np.ndarray, chk: np.ndarray | None, reach: int, chk_reach: int) -> tuple[list, list]:
+def pivots(fp: Column) -> list[Column]:
+    """Distances to the references, a byte each, eight to a number."""
+    far = lambda i: F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed(int(REFERENCES[i]))))).cast("long"), 8 * (i % 8))
+    return [reduce(Column.bitwiseOR, map(far, range(a, a + 8))).alias(f"p{a // 8}") for a in range(0, PIVOTS, 8)]
+
+
+def _forest(group: np.ndarray, node: np.ndarray, fp: np.ndarray, table: np.ndarray, chk: np.ndarray | None, reach: int, chk_reach: int) -> tuple[list, list]:
     """A spanning forest of the links within each group. Rows come sorted by group and
-    distance to the first reference."""
+    distance to the first reference; ``table`` has the distances to all."""
     n = len(fp)
-    table = np.stack([np.bitwise_count(fp ^ p) for p in REFERENCES], axis=1).astype(np.int8)
     first = table[:, 0]
     parent = np.arange(n)
     left: list[int] = []
@@ -244,7 +252,7 @@ def _links(max_distance: int, chk_distance: int | None):
         def columns(b: pa.RecordBatch) -> list[np.ndarray]:
             return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
-        names = ["t", "k", "a", "b", "node", "fp"] + (WIDE if chk_distance is not None else [])
+        names = ["t", "k", "a", "b", "node", "fp", *TABLE] + (WIDE if chk_distance is not None else [])
         held: list[list[np.ndarray]] = []
         rows = 0
 
@@ -261,8 +269,10 @@ def _links(max_distance: int, chk_distance: int | None):
                 held, rows = [[c[cut:] for c in cols]], len(new) - cut
             group = np.cumsum(new)[:cut]
             part = [c[:cut] for c in cols]
-            chk = np.stack(part[6:], axis=1).astype(np.int64).view(np.uint64) if chk_distance is not None else None
-            x, y = _forest(group, part[4], part[5].astype(np.int64).view(np.uint64), chk, max_distance, chk_distance or 0)
+            of = 6 + len(TABLE)
+            table = np.stack(part[6:of], axis=1).astype("<i8").view(np.int8)
+            chk = np.stack(part[of:], axis=1).astype(np.int64).view(np.uint64) if chk_distance is not None else None
+            x, y = _forest(group, part[4], part[5].astype(np.int64).view(np.uint64), table, chk, max_distance, chk_distance or 0)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
 
         for batch in batches:
@@ -277,12 +287,12 @@ def _links(max_distance: int, chk_distance: int | None):
 
 def links(nodes: DataFrame, scratch: Scratch, max_distance: int, chk_distance: int | None = None, block: int = BLOCK) -> DataFrame:
     """``(src, dst)`` of node numbers: per block a spanning forest of all links between
-    the written ``nodes (node, fp[, c0 to c3])``."""
-    keep = ["node", "fp"] + (WIDE if chk_distance is not None else [])
+    the written ``nodes (node, fp, p0, p1[, c0 to c3])``."""
+    keep = ["node", "fp", *TABLE] + (WIDE if chk_distance is not None else [])
     choice = masks(max_distance, nodes.count())
     spread = nodes.select(*keep, F.posexplode(F.array(*[F.lit(m) for m in choice])).alias("t", "mask"))
     spread = chunked(spread.select(*keep, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k")), scratch, block)
-    order = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(int(REFERENCES[0])))))
+    order = F.col(TABLE[0]).bitwiseAND(F.lit(255))
     dealt = spread.select("t", "k", "a", "b", *keep).repartition("t", "k", "a", "b").sortWithinPartitions("t", "k", "a", "b", order)
     return dealt.mapInArrow(_links(max_distance, chk_distance), "src long, dst long")
 
@@ -426,7 +436,7 @@ def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: i
     prints = scratch.save(fingerprints(docs, width) if check_distance is None else set_prints(docs, width), "prints")
     more = [] if check_distance is None else [F.first("bands").alias("bands")]
     nodes = prints.groupBy(*marks).agg(F.min("doc_id").alias("rep"), *more).withColumn("node", F.monotonically_increasing_id())
-    nodes = scratch.save(nodes, "nodes")
+    nodes = scratch.save(nodes.select("*", *pivots(F.col("fp"))), "nodes")
     found = components(links(nodes, scratch, max_distance, check_distance), scratch)
     rest = [] if check_distance is None else ["node", "bands"]
     placed = scratch.save(nodes.join(found, "node", "left").select(*marks, *rest, "rep", F.coalesce("root", "node").alias("root")), "placed")

@@ -14,7 +14,8 @@ Labels are learnt from a bounded sample of labelled rows, ``SAMPLE`` at most, ta
 by a hash of the id; equal texts count once there. Scoring covers every text whole.
 
 Nulls: a null text scores as an empty one; a row with a null label or id teaches
-nothing. Without any labelled row the score is 0.
+nothing. Without toxic training texts, or any at all, every score is next to 0 (9e-14);
+with toxic ones only it is next to 1.
 """
 
 from __future__ import annotations

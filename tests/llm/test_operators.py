@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from celestile.llm import mixing
 from celestile.llm import queries as Q
 from tests.llm.conftest import documents
 
@@ -248,6 +249,39 @@ def test_op8(spark, where):
         assert r["selected"] == (u < r["probability"]) or abs(u - r["probability"]) < 1e-5
     total = sum(r["n_tokens"] for r in got)
     assert abs(sum(r["n_tokens"] * r["probability"] for r in got) / total - 0.5) < 1e-4
+    # Raking by the definition, in plain Python.
+    dims = ("source", "lang", "topic")
+    cells = Counter()
+    for r in got:
+        cells[tuple(r[d] for d in dims)] += r["n_tokens"]
+    goal = []
+    for d, name in enumerate(dims):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[d]] += n
+        power = {v: (n / total) ** mixing.TEMPER[name] for v, n in have.items() if n}
+        goal.append({v: x / sum(power.values()) * total for v, x in power.items()})
+    w = {c: float(n) for c, n in cells.items()}
+    off = 1.0
+    for _ in range(3000):
+        off = 0.0
+        for d in range(3):
+            have = Counter()
+            for c, x in w.items():
+                have[c[d]] += x
+            off = max([off, *(abs(have[v] - g) / total for v, g in goal[d].items())])
+            w = {c: x * goal[d][c[d]] / have[c[d]] if have[c[d]] else x for c, x in w.items()}
+        if off < 1e-11:
+            break
+    met = {r["targets_met"] for r in got}
+    assert met == {off < 1e-6}
+    if met == {True}:
+        lo, hi = 0.0, 1e9  # the level at which half of all tokens is kept
+        chance = lambda c, level: min(1.0, level * w[c] / cells[c]) if cells[c] else 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if sum(n * chance(c, mid) for c, n in cells.items()) > total / 2 else (mid, hi)
+        assert all(abs(r["probability"] - chance(tuple(r[d] for d in dims), lo)) < 2e-5 for r in got if cells[tuple(r[d] for d in dims)])
 
 
 def test_op9(spark, where):

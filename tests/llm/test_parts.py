@@ -132,6 +132,7 @@ def test_blocks_cut_small_keep_all_links(spark):
     base = [rnd.getrandbits(64) for _ in range(12)]
     fps = sorted({b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(0, 5))) for b in base for _ in range(25)})
     nodes = spark.createDataFrame([(i, simhash.signed(x)) for i, x in enumerate(fps)], "node long, fp long")
+    nodes = nodes.select("*", *simhash.pivots(F.col("fp")))
     roots = lambda e: {r["node"]: r["root"] for r in components(e, Scratch(spark, "test")).collect()}
     top = list(range(len(fps)))
 
