@@ -31,7 +31,7 @@ STRIDE = 1000
 STRIPE = 16 << 20
 SCHEMA = "doc_id long, part int, base long, n_tokens int, ids array<int>"
 #: Bytes of text that are encoded at once.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 22
 
 
 def _encoder(path: str, end: int):
@@ -48,6 +48,7 @@ def _encoder(path: str, end: int):
                     ["doc_id", "part", "base", "n_tokens", "ids"],
                 )
                 base += int(offsets[-1])
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -82,7 +82,7 @@ def features(text: str | None) -> set[bytes]:
 class Scores(dict):
     """Scores by word, found once per process; forgotten when there are ``ROOM``."""
 
-    ROOM = 1_000_000
+    ROOM = 250_000
 
     def __init__(self, odds: dict[bytes, float]) -> None:
         super().__init__()

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-ROOM = 800_000
+ROOM = 400_000
 MARKS = ".,;:|!?"
 #: Letters that every Unicode version calls so, in normal form C, with lower-case forms of their own.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
