@@ -415,43 +415,44 @@ for _name, _region in REGIONS.items():
 
 
 # margins
-def _edge_sql(where: str, which: str, steps: int) -> str:
-    """Sub-cells by filtering all: their quarters at every step are among the edge's two."""
-    a = X.pick(tuple(e[0] for e in G.EDGES), which, "duckdb")
-    b = X.pick(tuple(e[1] for e in G.EDGES), which, "duckdb")
-    digits = " AND ".join(f"((q >> {2 * i}) & 3) IN ({a}, {b})" for i in range(steps))
-    return f"SELECT * FROM (SELECT *, unnest(range({1 << 2 * steps})) AS q FROM ({where})) WHERE {digits}"
+def _on_border(q: str, side: str, steps: int, turned: int = 1) -> str:
+    """Whether part ``q`` of a cell lies along a side, by its bits of x and of y: all 0, all 1 or any."""
+    tests = []
+    for steps_to, at in ((X.NEAR_X, 0), (X.NEAR_Y, 1)):
+        mask = sum(1 << 2 * i + at for i in range(steps))
+        to = X.pick(tuple(turned * d for d in steps_to), side, "duckdb")
+        tests.append(f"CASE {to} WHEN -1 THEN q_ & {mask} = 0 WHEN 1 THEN q_ & {mask} = {mask} ELSE true END".replace("q_", f"({q})"))
+    return " AND ".join(f"({t})" for t in tests)
 
 
-@query("edge_cells", f"SELECT pix, which, (pix << 6) + q AS edge_pix FROM ({_edge_sql('SELECT range AS pix, unnest(range(8)) AS which FROM range(48)', 'which', 3)})")
+@query("edge_cells", f"SELECT pix, which, (pix << 6) + q AS edge_pix FROM (SELECT range AS pix, unnest(range(8)) AS which FROM range(48)), (SELECT range AS q FROM range(64)) WHERE {_on_border('q', 'which', 3, -1)}")
 def _(spark, d):
     c = spark.range(48).select(F.col("id").alias("pix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("which"))
     return c.select("pix", "which", F.explode(G.edge_cells(F.col("pix"), F.col("which"), 3)).alias("edge_pix"))
 
 
-def _margin_sql(cells: str, order: int, steps: int) -> str:
-    near_steps, near = X.all_neighbours("cell", order, "duckdb")
-    sides = f"SELECT * FROM (SELECT cell, unnest(range(8)) AS side, unnest([{', '.join(near)}]) AS near FROM ({X.nest(cells, near_steps)})) WHERE near IS NOT NULL"
-    face = f"(cell >> {2 * order})", f"(near >> {2 * order})"
-    turn = f"CASE WHEN {face[0]} < 4 AND {face[1]} < 4 THEN 2 * ({face[1]} - {face[0]}) WHEN {face[0]} >= 8 AND {face[1]} >= 8 THEN -2 * ({face[1]} - {face[0]}) ELSE 0 END"
-    turned = f"SELECT *, ((side + {turn}) % 8 + 8) % 8 AS which FROM ({sides})"
-    return f"SELECT cell, side, (near << {2 * steps}) + q AS margin_pix FROM ({_edge_sql(turned, 'which', steps)})"
+def _margin_sql(order: int, steps: int) -> str:
+    """All cells of the finer order, each with its neighbours across those sides of the coarse cell that it lies along."""
+    near_steps, near = X.all_neighbours("p", order + steps, "duckdb")
+    fine = X.nest(f"SELECT range AS p FROM range({12 << 2 * (order + steps)})", near_steps)
+    sides = f"SELECT p >> {2 * steps} AS cell, p & {(1 << 2 * steps) - 1} AS q, unnest(range(8)) AS side, unnest([{', '.join(near)}]) AS margin_pix FROM ({fine})"
+    return f"SELECT cell, side, margin_pix FROM ({sides}) WHERE margin_pix IS NOT NULL AND {_on_border('q', 'side', steps)}"
 
 
-@query("margin_cells", _margin_sql("SELECT range AS cell FROM range(192)", 2, 2))
+@query("margin_cells", _margin_sql(2, 2))
 def _(spark, d):
     m = G.margin_cells(spark.range(192).withColumnRenamed("id", "Npix"), 2, 2)
     return m.select("cell", F.col("side").cast("long").alias("side"), "margin_pix")
 
 
-@query("margin_rows", f"SELECT {_KEY}, m.cell AS margin_cell FROM ({pix_sql('lineitem', 5)}) r JOIN (SELECT DISTINCT cell, margin_pix FROM ({_margin_sql('SELECT range AS cell FROM range(192)', 2, 3)})) m ON r.pix = m.margin_pix")
+@query("margin_rows", f"SELECT {_KEY}, m.cell AS margin_cell FROM ({pix_sql('lineitem', 5)}) r JOIN (SELECT DISTINCT cell, margin_pix FROM ({_margin_sql(2, 3)})) m ON r.pix = m.margin_pix")
 def _(spark, d):
     rows = hp.with_pixel(view(spark, d, "lineitem", *KEY), "ra", "dec", 5, "fine").withColumn("cell", F.shiftright("fine", 6))
     ring = G.margin_cells(spark.range(192).withColumnRenamed("id", "Npix"), 2, 3).select(F.col("cell").alias("margin_cell"), F.col("margin_pix").alias("fine")).distinct()
     return rows.join(ring, "fine").select(*KEY, "margin_cell")
 
 
-def _near_sql(order: int, pixel: int, step: int, arcsec: float, points: str) -> str:
+def near_sql(order: int, pixel: int, step: int, arcsec: float, points: str) -> str:
     n, most = 4 * step, X.separation("p.ra", "p.dec", "b.bra", "b.bdec")
     gap = X.separation("u.bra", "u.bdec", "v.bra", "v.bdec")
     angle = "acos(greatest(-1.0e0, least(1.0e0, (cos(y) - cos(x) * cos(z)) / (sin(x) * sin(z)))))"
@@ -464,12 +465,10 @@ def _near_sql(order: int, pixel: int, step: int, arcsec: float, points: str) ->
     SELECT o_orderkey, near <= {arcsec / 3600!r} OR degrees(asin(sin({angle}) * sin(x))) <= {arcsec / 3600!r} AS in_margin FROM h"""
 
 
-_NEAR_CONE = R.Cone(45.0, 20.0, 40 * 3600.0)
-
-
-@query("near_boundary", _near_sql(1, 3, 100, 7200.0, f"SELECT o_orderkey, ra, dec FROM ({view_sql('orders')}) WHERE {_NEAR_CONE.sql('ra', 'dec')}"))
+@query("near_boundary")
 def _(spark, d):
-    return G.near_boundary(view(spark, d, "orders", "o_orderkey").where(R.row_predicate(_NEAR_CONE)), 1, 3, 7200.0).select("o_orderkey", "in_margin")
+    """All orders against a cell's boundary. Its SQL takes too long on a whole table; ``near_sql`` is for small ones."""
+    return G.near_boundary(view(spark, d, "orders", "o_orderkey"), 1, 3, 7200.0).select("o_orderkey", "in_margin")
 
 
 # indexes, associations, matches

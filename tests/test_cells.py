@@ -119,6 +119,7 @@ def test_coverage_algebra(spark):
     assert pairs(M.to_cells(whole)) == [(0, p) for p in range(12)]
 
 
+# Published margin cells of three cells.
 @pytest.mark.parametrize("order, pix, want", [
     (2, 2, [1141, 1143, 1149, 1151, 1237, 128, 129, 132, 133, 144, 48, 50, 56, 58, 26, 10, 11, 14, 15, 1119]),
     (2, 5, [69, 71, 77, 79, 101, 112, 113, 116, 117, 442, 426, 427, 430, 431, 1530, 1531, 1534, 1535, 1519]),
@@ -126,13 +127,25 @@ def test_coverage_algebra(spark):
 ])
 def test_margin_cells(spark, order, pix, want):
     m = G.margin_cells(C.from_pixels(spark, [(order, pix)]), order, 2)
-    assert [r["margin_pix"] for r in m.orderBy("side", "place").collect()] == want
+    assert [r["margin_pix"] for r in m.orderBy("side", "margin_pix").collect()] == want
     with pytest.raises(ValueError):
         G.margin_cells(C.from_pixels(spark, [(order, pix)]), order, 0)
     with pytest.raises(ValueError):
         G.edge(1, 0, 8)
 
 
+def test_margins_touch_their_cells(spark):
+    """Every cell beside a cell, found from the far side: a finer cell is in the margin if one of its own neighbours is in the cell."""
+    order, steps = 1, 2
+    fine = spark.range(12 << 2 * (order + steps)).withColumnRenamed("id", "p")
+    near = {r["p"]: [x for x in r["neighbours"] if x is not None] for r in hp.with_neighbours(fine, "p", order + steps).collect()}
+    want = {(x >> 2 * steps, p) for p, xs in near.items() for x in xs if x >> 2 * steps != p >> 2 * steps}
+    got = {(r["cell"], r["margin_pix"]) for r in G.margin_cells(C.from_pixels(spark, [(order, p) for p in range(48)]), order, steps).collect()}
+    assert got <= want
+    # Diagonal steps from within a side lead to cells that a straight step reaches as well.
+    assert got == want
+
+
 @pytest.mark.parametrize("order, pix, points, want", [
     (3, 4, [(42.4704538, 1.4593925), (56.25, 9.6), (56.25, 10.0), (50.61225197, 14.4767556)], [False, True, False, True]),
     (0, 4, [(142.4704538, 1.4593925), (45.09, 0.0), (45.2, 0.0), (37.31343956517391, 6.566326903165274), (42.649354753311535, 2.005185097251452)], [False, True, False, True, True]),

@@ -16,6 +16,14 @@ def test_same_as_sql(spark, small, con, name):
     assert_same(Q.QUERIES[name](spark, small), con, Q.ORACLE_SQL[name])
 
 
+def test_near_boundary_as_sql_on_some_points(spark, small, con):
+    from celestile.plans.sky import view_sql
+
+    some = "o_orderkey % 40 = 0"
+    got = Q.QUERIES["near_boundary"](spark, small).where(some)
+    assert_same(got, con, Q.near_sql(1, 3, 100, 7200.0, f"SELECT o_orderkey, ra, dec FROM ({view_sql('orders')}) WHERE {some}"))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
