@@ -43,14 +43,20 @@ def join_rows(primary: DataFrame, secondary: DataFrame, left_on: str, right_on:
     return primary.join(secondary, primary[left_on] == secondary[right_on], how)
 
 
+#: 40 degrees: beyond, pairs lie further apart than neighbouring base cells.
+WIDEST = 40 * 3600.0
+
+
 def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float, left_id: str, right_id: str, ra: str = "ra", dec: str = "dec") -> DataFrame:
     """``(left_id, right_id, arcsec)`` of all pairs within a radius.
 
     Every right row is written to its own cell and to that cell's neighbours, at an
     order whose cells are wider than the radius everywhere, and meets the left rows of
     the cell in an equi-join; distances are tested within. Dense cells are what AQE
-    splits. Only ids and positions are exchanged.
+    splits. Only ids and positions are exchanged. Radii over ``WIDEST`` are refused.
     """
+    if radius_arcsec > WIDEST:
+        raise ValueError(f"a radius of {radius_arcsec} arcsec reaches beyond the cells around a base cell; {WIDEST} at most")
     order = max(0, min(hp.margin2order(radius_arcsec / 60), 29))
     a = hp.with_pixel(left.select(F.col(left_id).alias("_a"), F.col(ra).alias("_ra"), F.col(dec).alias("_dec")), "_ra", "_dec", order, "_cell")
     b = hp.with_pixel(right.select(F.col(right_id).alias("_b"), F.col(ra).alias("_rb"), F.col(dec).alias("_db")), "_rb", "_db", order, "_own")

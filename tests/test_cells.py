@@ -233,3 +233,13 @@ def test_covers_hold_every_row(spark, small):
         assert R.search(rows, region, order=5).count() == direct.count() > 0
         leaf = R.cover(spark, region, 5).select(F.col("Npix").alias("c"))
         assert direct.withColumn("c", hp.to_order(F.col(hp.INDEX_COLUMN), 5)).join(leaf, "c", "left_anti").count() == 0
+
+
+def test_cross_match_refuses_radii_beyond_the_ring(spark):
+    from celestile.operators import joins
+
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 39.9, 0.0), (3, 50.0, 0.0)], "i int, ra double, dec double")
+    got = joins.cross_match(df, df.withColumnRenamed("i", "j"), 40 * 3600.0, "i", "j")
+    assert {(r["i"], r["j"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1), (2, 3), (3, 2)}
+    with pytest.raises(ValueError):
+        joins.cross_match(df, df, 41 * 3600.0, "i", "i")
