@@ -341,12 +341,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield from cut(True)
 
 
-def _pairs(chk: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group that belong to several roots and whose wide fingerprints are close."""
+def _pairs(chk: np.ndarray, root: np.ndarray, before: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group that belong to several roots, whose wide fingerprints are close and that
+    share none of the bands ``before`` this group's, where they have met already."""
     if len(root) > 1 and (root != root[0]).any():
         for i in range(len(root) - 1):
             j = i + 1 + np.nonzero(root[i + 1 :] != root[i])[0]
             j = j[np.bitwise_count(chk[j] ^ chk[i]).sum(axis=1) <= LOOSE]
+            if before is not None and len(j):
+                j = j[(before[j] != before[i]).all(axis=1)]
             if len(j):
                 yield i, j
 
@@ -356,14 +359,15 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that have a candidate in their group."""
+    """The rows that have a candidate in their group; a pair counts in the first band it shares."""
     for table, edges in _whole_groups(batches):
         chk, root = _sides(table)
+        bands, t = np.frombuffer(b"".join(table["all"].to_pylist()), "<i8").reshape(-1, BANDS), table["t"].to_numpy()
         met = np.zeros(len(root), bool)
         for x, y in zip(edges, edges[1:]):
-            for i, j in _pairs(chk[x:y], root[x:y]):
+            for i, j in _pairs(chk[x:y], root[x:y], bands[x:y, : t[x]]):
                 met[x + i] = met[x + j] = True
-        yield from table.filter(pa.array(met)).to_batches()
+        yield from table.drop_columns(["all"]).filter(pa.array(met)).to_batches()
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,16 +410,22 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar(placed: DataFrame, prints: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """``(src, dst)`` of roots that hold texts whose sets of shingles are similar, of the
     written ``placed (node, root, sig, bands, c0 to c3)``. Sets are dealt only to the
-    groups where they have a candidate of another root."""
+    groups where they have a candidate of another root that they share no earlier band with.
+
+    Bands go through the exchanges with two numbers a row until those of a single root are gone; a set is
+    taken from one row of each of its copies in a partition before it is dealt."""
     keep = ["node", "root", "sig", *WIDE]
-    spread = placed.select(*keep, F.posexplode("bands").alias("t", "k"))
+    spread = placed.select("node", "root", F.posexplode("bands").alias("t", "k"))
     shared = spread.groupBy("t", "k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("t", "k")
-    spread = chunked(spread.join(scratch.save(shared, "bands"), ["t", "k"], "left_semi"), scratch, block)
+    spread = scratch.save(spread.select("t", "k", "node").join(scratch.save(shared, "bands"), ["t", "k"], "left_semi"), "shared")
+    # All bands of a row as bytes, eight each, in order.
+    every = F.unhex(F.concat_ws("", F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0"))))
+    spread = chunked(spread.join(placed.select(*keep, every.alias("all")), "node"), scratch, block)
     dealt = lambda df, *more: df.select(*_GROUP, *keep, *more).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     kind = "t int, k long, a int, b int, node long, root long, sig long, c0 long, c1 long, c2 long, c3 long"
-    met = scratch.save(dealt(spread).mapInArrow(_meet, kind), "met")
-    sets = prints.select("sig", "items").join(met.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("items").alias("items"))
-    return dealt(met.join(scratch.save(sets, "sets"), "sig"), "items").mapInArrow(_alike, "src long, dst long")
+    met = scratch.save(dealt(spread, "all").mapInArrow(_meet, kind), "met")
+    sets = prints.where(F.length("items") > 0).groupBy("sig").agg(F.first("items").alias("items"))
+    return dealt(met.join(sets, "sig"), "items").mapInArrow(_alike, "src long, dst long")
 
 
 def groups(spark: SparkSession, docs: DataFrame, width: int = 4, max_distance: int = 4, check_distance: int | None = None) -> DataFrame:
