@@ -19,6 +19,10 @@ from celestile.sources import metadata, paths
 from celestile.sources.properties import Properties
 
 
+#: Leaf files that a scan names one by one; one of more reads the folder and keeps the rows of the leaves.
+MOST_FILES = 100_000
+
+
 @dataclass
 class Catalog:
     """A catalog of any type. ``partitions`` are its leaf cells ``(Norder, Npix)``, ``moc`` its
@@ -32,6 +36,8 @@ class Catalog:
     moc_order: int | None = None
     pairs: DataFrame | None = None
     rows_df: DataFrame | None = None
+    #: The folder a filtered catalog was taken from; its rows are still read from there.
+    source: str | None = None
 
     @property
     def name(self) -> str:
@@ -43,21 +49,35 @@ class Catalog:
 
     def rows(self, columns: list[str] | None = None) -> DataFrame:
         """The rows of the partitions, with the default columns unless others are named; all
-        columns for an empty list.
-        Partitions are found by directory, so Spark prunes them; rows of leaf cells that were
-        filtered out are not read."""
-        df = self.rows_df
-        if df is None:
-            if not self.path:
-                raise ValueError("the catalog has no rows")
-            df = self.spark.read.parquet(f"{self.path}/{paths.DATASET}")
-            df = df.withColumns({c: F.col(c).cast(t) for c, t in (("Norder", "int"), ("Dir", "long"), ("Npix", "long")) if c in df.columns})
+        columns for an empty list. Only the files of the catalog's own leaf cells are listed
+        and opened."""
         names = columns if columns is not None else self.properties.default_columns
-        df = df.join(self.partitions.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi")
+        if self.rows_df is not None:
+            df = self._of_leaves(self.rows_df)
+        elif self._folder:
+            df = self._scan()
+        else:
+            raise ValueError("the catalog has no rows")
         return df.select(*names) if names else df
 
+    @property
+    def _folder(self) -> str | None:
+        return self.path or self.source
+
+    def _of_leaves(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.partitions.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi")
+
+    def _scan(self) -> DataFrame:
+        top = f"{self._folder}/{paths.DATASET}"
+        leaves = self.partitions.select("Norder", "Npix").limit(MOST_FILES + 1).collect()
+        named = 0 < len(leaves) <= MOST_FILES
+        read = self.spark.read.option("basePath", top)
+        df = read.parquet(*paths.leaf_files(self._folder, leaves)) if named else read.parquet(top)
+        df = df.withColumns({c: F.col(c).cast(t) for c, t in (("Norder", "int"), ("Dir", "long"), ("Npix", "long")) if c in df.columns})
+        return df if named else self._of_leaves(df)
+
     def all_columns(self) -> list[str]:
-        rows = self.rows_df if self.rows_df is not None else self.spark.read.parquet(f"{self.path}/{paths.DATASET}")
+        rows = self.rows_df if self.rows_df is not None else self.spark.read.parquet(f"{self._folder}/{paths.DATASET}")
         return rows.columns
 
     @property
@@ -88,7 +108,7 @@ class Catalog:
     def _kept(self, partitions: DataFrame, moc: DataFrame) -> Catalog:
         pairs = self.pairs.join(partitions.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi") if self.pairs is not None else None
         own = M.intersection(self.moc, moc) if self.moc is not None else None
-        return replace(self, partitions=partitions, moc=own, pairs=pairs, properties=self.properties.updated(total_rows=0), rows_df=self.rows_df if self.rows_df is not None else (self.rows([]) if self.path else None), path=None)
+        return replace(self, partitions=partitions, moc=own, pairs=pairs, properties=self.properties.updated(total_rows=0), source=self._folder, path=None)
 
     def filter_region(self, region: R.Region, order: int | None = None) -> Catalog:
         """The leaf cells that may touch a region; rows are tested by ``search``."""

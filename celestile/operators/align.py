@@ -34,16 +34,16 @@ def align(left: DataFrame, right: DataFrame, how: AlignmentType | str = "inner")
     )
     none = (F.lit(None).cast("int"), F.lit(None).cast("long"))
     if how in (AlignmentType.LEFT, AlignmentType.OUTER):
-        out = out.unionByName(_unshared(left, right).select(F.col("c_order").alias("primary_Norder"), F.col("c_pix").alias("primary_Npix"), none[0].alias("join_Norder"), none[1].alias("join_Npix"), F.col("Norder").alias("aligned_Norder"), F.col("Npix").alias("aligned_Npix")))
+        out = out.unionByName(_unshared(left, right, pairs.select("l_order", "l_pix")).select(F.col("c_order").alias("primary_Norder"), F.col("c_pix").alias("primary_Npix"), none[0].alias("join_Norder"), none[1].alias("join_Npix"), F.col("Norder").alias("aligned_Norder"), F.col("Npix").alias("aligned_Npix")))
     if how in (AlignmentType.RIGHT, AlignmentType.OUTER):
-        out = out.unionByName(_unshared(right, left).select(none[0].alias("primary_Norder"), none[1].alias("primary_Npix"), F.col("c_order").alias("join_Norder"), F.col("c_pix").alias("join_Npix"), F.col("Norder").alias("aligned_Norder"), F.col("Npix").alias("aligned_Npix")))
+        out = out.unionByName(_unshared(right, left, pairs.select("r_order", "r_pix")).select(none[0].alias("primary_Norder"), none[1].alias("primary_Npix"), F.col("c_order").alias("join_Norder"), F.col("c_pix").alias("join_Npix"), F.col("Norder").alias("aligned_Norder"), F.col("Npix").alias("aligned_Npix")))
     return out
 
 
-def _unshared(own: DataFrame, other: DataFrame) -> DataFrame:
-    """``(c_order, c_pix, Norder, Npix)``: each own cell and the largest cells of it outside the other."""
-    met = C.overlapping_pairs(own, other).select(F.col("l_order").alias("Norder"), F.col("l_pix").alias("Npix")).distinct()
-    alone = own.select("Norder", "Npix").join(met, ["Norder", "Npix"], "left_anti")
+def _unshared(own: DataFrame, other: DataFrame, met: DataFrame) -> DataFrame:
+    """``(c_order, c_pix, Norder, Npix)``: each own cell and the largest cells of it outside the other.
+    ``met`` are the own cells that share sky with any other."""
+    alone = own.select("Norder", "Npix").join(met.toDF("Norder", "Npix").distinct(), ["Norder", "Npix"], "left_anti")
     whole = alone.select(F.col("Norder").alias("c_order"), F.col("Npix").alias("c_pix"), "Norder", "Npix")
     return whole.unionByName(C.remainder(own, other))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +70,28 @@ def partitions(aligned: DataFrame) -> DataFrame:
     return aligned.select("Norder", "Npix", "total").distinct()
 
 
+#: Partitions, each a file, that are held to place rows; a table of them takes 8 bytes each.
+MOST_HELD = 1_000_000
+
+
 def assign(rows: DataFrame, aligned: DataFrame, highest: int, index: str = hp.INDEX_COLUMN) -> DataFrame:
-    """Rows with the ``Norder`` and ``Npix`` of their partition. The alignment has a row a
-    cell of the highest order; Spark broadcasts it only under its own size limit."""
-    where = aligned.select(F.col("pix").alias("_pix"), "Norder", "Npix")
-    keyed = rows.withColumn("_pix", hp.to_order(F.col(index), highest))
-    return keyed.join(where, "_pix").drop("_pix")
+    """Rows with the ``Norder`` and ``Npix`` of their partition; rows in none go.
+
+    Up to ``MOST_HELD`` partitions are broadcast, a table for each order that occurs, and
+    a row probes its ancestors there, so rows aren't shuffled. Where there are more, rows
+    meet the alignment, a row a cell of the highest order, in a join.
+    """
+    spark = rows.sparkSession
+    held = partitions(aligned).select("Norder", "Npix").limit(MOST_HELD + 1).toArrow()
+    if held.num_rows > MOST_HELD:
+        where = aligned.select(F.col("pix").alias("_pix"), "Norder", "Npix")
+        return rows.withColumn("_pix", hp.to_order(F.col(index), highest)).join(where, "_pix").drop("_pix")
+    none = F.lit(None)
+    order, pixel, out = [none.cast("int")], [none.cast("long")], rows
+    for o in sorted(set(held["Norder"].to_pylist())):
+        cells = held.filter(pc.equal(held["Norder"], o)).select(["Npix"]).rename_columns([f"_at{o}"])
+        out = out.join(F.broadcast(spark.createDataFrame(cells)), hp.to_order(F.col(index), o) == F.col(f"_at{o}"), "left")
+        order.append(F.when(F.col(f"_at{o}").isNotNull(), F.lit(o)))
+        pixel.append(F.col(f"_at{o}"))
+    out = out.withColumns({"Norder": F.coalesce(*order), "Npix": F.coalesce(*pixel)}).where("Norder is not null")
+    return out.drop(*(c for c in out.columns if c.startswith("_at") and c not in rows.columns))

@@ -43,6 +43,9 @@ class Cone:
             raise ValueError("cone radius must be positive")
         _check_dec(self.dec)
 
+    def width(self) -> float:
+        return 2 * self.radius_arcsec / 3600
+
     def sql(self, ra: str, dec: str, slack: float = 0.0) -> str:
         return f"{formulas.separation(ra, dec, _num(self.ra), _num(self.dec))} <= {_num(self.radius_arcsec / 3600 + slack)}"
 
@@ -66,6 +69,9 @@ class Box:
         if bad:
             raise ValueError("invalid ra or dec range")
 
+    def width(self) -> float:
+        return max((self.ra[1] - self.ra[0]) % 360 if self.ra else 360.0, self.dec[1] - self.dec[0] if self.dec else 180.0)
+
     def sql(self, ra: str, dec: str, slack: float = 0.0) -> str:
         out = []
         if self.ra and not slack:
@@ -106,6 +112,10 @@ class Polygon:
             raise ValueError("polygon is degenerate: its vertices lie on a great circle")
         object.__setattr__(self, "vertices", tuple(map(tuple, v.tolist())))
 
+    def width(self) -> float:
+        v = np.array(self.vertices)
+        return math.degrees(math.acos(max(-1.0, min(1.0, float((v @ v.T).min())))))
+
     def normals(self) -> np.ndarray:
         v = np.array(self.vertices)
         n = np.cross(v, np.roll(v, -1, axis=0))
@@ -151,6 +161,30 @@ def filter_leaves(leaves: DataFrame, region: Region, order: int) -> DataFrame:
     return C.overlapping(leaves, cover(leaves.sparkSession, region, order))
 
 
+def cover_order(region: Region, across: int = 16) -> int:
+    """The order whose cells are about a sixteenth of a region's width, from 6 on: a cover then
+    has some hundred cells however small the region is."""
+    return max(6, min(18, hp.avgsize2order(max(region.width(), 1e-9) * 60 / across)))
+
+
+def strip_cells(spark: SparkSession, order: int, south: float, north: float, inclusive: bool = True) -> DataFrame:
+    """The cells of an order that may touch a band of declination; if not ``inclusive`` those
+    whose centres lie in it."""
+    return _of_region(spark, Box(dec=(south, north)), order, inclusive)
+
+
+def polygon_cells(spark: SparkSession, order: int, vertices, inclusive: bool = True) -> DataFrame:
+    """As ``strip_cells``, of a convex polygon."""
+    return _of_region(spark, Polygon(tuple(map(tuple, vertices))), order, inclusive)
+
+
+def _of_region(spark: SparkSession, region: Region, order: int, inclusive: bool) -> DataFrame:
+    cells = cover(spark, region, order)
+    if inclusive:
+        return cells
+    return hp.with_centre(cells, "Npix", order, "_ra", "_dec").where(region.sql("_ra", "_dec")).select("Norder", "Npix")
+
+
 def index_ranges(spark: SparkSession, region: Region, order: int, most: int = 64) -> list[tuple[int, int]]:
     """At most ``most`` ranges of the spatial index that hold a region: those closest to
     one another are joined."""
@@ -168,12 +202,13 @@ def index_ranges(spark: SparkSession, region: Region, order: int, most: int = 64
     return [(a, b) for a, b in out]
 
 
-def search(rows: DataFrame, region: Region, ra: str = "ra", dec: str = "dec", index: str | None = hp.INDEX_COLUMN, order: int = 6) -> DataFrame:
+def search(rows: DataFrame, region: Region, ra: str = "ra", dec: str = "dec", index: str | None = hp.INDEX_COLUMN, order: int | None = None) -> DataFrame:
     """The rows in a region. With an index column, ranges of it go to the scan as
-    filters, so row groups outside the cover aren't read."""
+    filters, so row groups outside the cover aren't read. The cover's order follows the
+    region's width unless given."""
     if index and index in rows.columns:
         keep = F.lit(False)
-        for lo, hi in index_ranges(rows.sparkSession, region, order):
+        for lo, hi in index_ranges(rows.sparkSession, region, cover_order(region) if order is None else order):
             keep = keep | ((F.col(index) >= lo) & (F.col(index) < hi))
         rows = rows.where(keep)
     return rows.where(row_predicate(region, ra, dec))

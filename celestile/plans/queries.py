@@ -77,10 +77,13 @@ def tree_sql(table: str) -> str:
 
 
 def tree_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = view(spark, sf_dir, table)
-    counts = T.histogram(df, TOP)
-    most = max(df.count() // SHARES[table] + 1, counts.agg(F.max("n")).first()[0] or 0)
-    return T.partitions(T.alignment(counts, TOP, 0, most)).select("Norder", "Npix")
+    """The partitions of a table, held by the driver as those of an opened catalog are. There
+    are ``12 * 4 ** TOP`` cells at most, and one scan counts them."""
+    counts = T.histogram(view(spark, sf_dir, table), TOP).toArrow()
+    n = counts["n"].to_pylist()
+    most = max(sum(n) // SHARES[table] + 1, *n, 0)
+    held = T.partitions(T.alignment(spark.createDataFrame(counts), TOP, 0, most)).select("Norder", "Npix")
+    return spark.createDataFrame(held.toArrow())
 
 
 LEFT, RIGHT = tree_sql("lineitem"), tree_sql("orders")
