@@ -15,7 +15,7 @@ from celestile.operators import joins as J
 from celestile.operators import margins as G
 from celestile.operators import moc as M
 from celestile.operators import regions as R
-from celestile.sources import metadata, paths
+from celestile.sources import metadata, paths, skymap
 from celestile.sources.properties import Properties
 
 
@@ -176,11 +176,12 @@ def open_catalog(spark: SparkSession, path: str, catalog_type: str | None = None
         rows = metadata.read_pairs(path)
         pairs = spark.createDataFrame(rows, "Norder INT, Npix BIGINT, join_Norder INT, join_Npix BIGINT")
     cells = C.tree(C.from_pixels(spark, metadata.read_partitions(path)))
-    moc = order = None
-    points = f"{path}/{paths.POINT_MAP}"
-    if paths.exists(points):
-        counts = spark.read.parquet(points)
+    moc = order = counts = None
+    if paths.exists(f"{path}/{paths.POINT_MAP}"):
+        counts = spark.read.parquet(f"{path}/{paths.POINT_MAP}")
         order = counts.agg(F.max("order")).first()[0]
-        counts = counts.where("n <> 0")
-        moc = M.from_counts(counts, order) if order is not None else None
+    elif paths.exists(f"{path}/{paths.SKY_MAP}"):
+        counts, order = skymap.read_counts(spark, f"{path}/{paths.SKY_MAP}")
+    if order is not None:
+        moc = M.from_counts(counts.where("n <> 0"), order)
     return Catalog(spark, p, cells, path, moc, order, pairs)

@@ -122,6 +122,31 @@ def pix2ang(pix: str, order: int, ra: str, dec: str, engine: str = "spark", tag:
     return [*pix2xyf(pix, order, f"{tag}ix", f"{tag}iy", f"{tag}if"), {f"{tag}u": f"(({tag}ix + 0.5e0) / {n!r}e0)", f"{tag}v": f"(({tag}iy + 0.5e0) / {n!r}e0)"}, *xyf2ang(f"{tag}u", f"{tag}v", f"{tag}if", ra, dec, engine)]
 
 
+def ring2ang(ring: str, order: int, ra: str, dec: str, tag: str = "_r") -> Steps:
+    """The centre, in degrees, of a cell that is numbered along rings from the north. Near the poles, rings
+    of 4, 8, 12 ... cells; between them rings of ``4 * nside``, every other shifted by half a cell."""
+    n, t = 1 << order, tag
+    cap, last = 2 * n * (n - 1), 12 * n * n
+    south = f"{ring} >= {last - cap}"
+    return [
+        {f"{t}k": f"CASE WHEN {south} THEN {last - 1} - {ring} ELSE {ring} END"},
+        {f"{t}g": f"CAST(floor((1.0e0 + sqrt(1.0e0 + 2.0e0 * {t}k)) / 2.0e0) AS BIGINT)"},
+        # The root may be one off for large numbers.
+        {f"{t}i": f"CASE WHEN 2 * {t}g * ({t}g - 1) > {t}k THEN {t}g - 1 WHEN 2 * {t}g * ({t}g + 1) <= {t}k THEN {t}g + 1 ELSE {t}g END"},
+        {f"{t}j": f"({t}k - 2 * {t}i * ({t}i - 1))", f"{t}e": f"({ring} - {cap})"},
+        {f"{t}m": f"CAST(floor({t}e / {4.0 * n!r}e0) AS BIGINT)"},
+        {f"{t}q": f"({t}e - {4 * n} * {t}m)"},
+        {
+            f"{t}d": f"90.0e0 - 2.0e0 * degrees(asin(least(1.0e0, {t}i / ({float(n)!r}e0 * sqrt(6.0e0)))))",
+            f"{t}a": f"(CASE WHEN {south} THEN 4 * {t}i - 1 - {t}j ELSE {t}j END + 0.5e0) * 90.0e0 / greatest({t}i, 1)",
+        },
+        {
+            ra: f"CASE WHEN {t}k < {cap} THEN {t}a ELSE ({t}q + CASE WHEN {t}m % 2 = 0 THEN 0.5e0 ELSE 0.0e0 END) * CAST({90.0 / n!r} AS DOUBLE) END",
+            dec: f"CASE WHEN {t}k < {cap} THEN CASE WHEN {south} THEN -{t}d ELSE {t}d END ELSE degrees(asin(greatest(-1.0e0, least(1.0e0, 2.0e0 / 3.0e0 - {t}m * CAST({2 / (3 * n)!r} AS DOUBLE))))) END",
+        },
+    ]
+
+
 def neighbour(pix: str, order: int, k: int, out: str, engine: str = "spark", tag: str = "_n") -> Steps:
     """Neighbour ``k`` of 0 to 7 (SW, W, NW, N, NE, E, SE, S) of a cell; null where there is none."""
     n, t = 1 << order, f"{tag}{k}"

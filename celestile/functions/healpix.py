@@ -156,6 +156,12 @@ def with_neighbours(df: DataFrame, pixel: str, order: int, out: str = "neighbour
     return formulas.apply(df, [*steps, {out: f"array({', '.join(names)})"}], [out])
 
 
+def with_nested(df: DataFrame, ring: str, order: int, out: str = "pixel") -> DataFrame:
+    """Adds the nested number of cells numbered along rings: the cell that holds the ring cell's centre."""
+    steps = formulas.ring2ang(ring, check_order(order), "_rra", "_rdec")
+    return formulas.apply(df, [*steps, *formulas.ang2pix("_rra", "_rdec", order, out)], [out])
+
+
 def with_vector(df: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFrame:
     r, d = F.radians(ra), F.radians(dec)
     return df.withColumns({"x": F.cos(d) * F.cos(r), "y": F.cos(d) * F.sin(r), "z": F.sin(d)})

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from celestile.functions import healpix as hp
+from celestile.functions.pixel import as_pixel
 
 CELL = "Norder INT, Npix BIGINT"
 
 
 def from_pixels(spark: SparkSession, pixels: list) -> DataFrame:
     """A short list of (order, pixel) as a DataFrame."""
-    return spark.createDataFrame([(int(o), int(p)) for o, p in pixels], CELL)
+    return spark.createDataFrame([tuple(as_pixel(tuple(p))) for p in pixels], CELL)
 
 
 def of_index(df: DataFrame, index: str, order: int) -> DataFrame:
