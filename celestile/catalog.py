@@ -127,8 +127,10 @@ class Catalog:
         return self.filter_region(R.Polygon(tuple(map(tuple, vertices))))
 
     def search(self, region: R.Region) -> DataFrame:
-        p = self.properties
-        return R.search(self.filter_region(region).rows([]), region, p.ra_column, p.dec_column)
+        """The rows in a region: of the leaves that meet its cover, the row groups that do."""
+        p, cells = self.properties, R.held_cover(self.spark, region)
+        rows = replace(self, partitions=C.overlapping(self.partitions, cells)).rows([])
+        return R.search(rows, region, p.ra_column, p.dec_column, cells=cells)
 
     def align(self, other: Catalog, how: str = "inner") -> DataFrame:
         return A.align_with_mocs(self.partitions, other.partitions, self.moc, other.moc, how)

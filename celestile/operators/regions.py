@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from celestile.functions import formulas
 from celestile.functions import healpix as hp
 from celestile.operators import cells as C
-from celestile.operators import moc as M
 
 
 def _check_dec(dec) -> None:
@@ -185,11 +184,22 @@ def _of_region(spark: SparkSession, region: Region, order: int, inclusive: bool)
     return hp.with_centre(cells, "Npix", order, "_ra", "_dec").where(region.sql("_ra", "_dec")).select("Norder", "Npix")
 
 
-def index_ranges(spark: SparkSession, region: Region, order: int, most: int = 64) -> list[tuple[int, int]]:
-    """At most ``most`` ranges of the spatial index that hold a region: those closest to
-    one another are joined."""
-    rows = M.from_cells(cover(spark, region, order)).orderBy("lo").collect()
-    out = [[r["lo"], r["hi"]] for r in rows]
+def held_cover(spark: SparkSession, region: Region, order: int | None = None) -> DataFrame:
+    """As ``cover``, its cells held by the driver: at an order of ``cover_order`` some hundred, or
+    those of order 6 at most."""
+    return spark.createDataFrame(cover(spark, region, cover_order(region) if order is None else order).toArrow())
+
+
+def index_ranges(cells: DataFrame, most: int = 64) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of the spatial index that hold the cells of a cover: those
+    closest to one another are joined."""
+    out: list[list[int]] = []
+    for o, p in sorted((r["Norder"], r["Npix"]) for r in cells.collect()):
+        lo, hi = (p + k << 2 * (hp.MAX_ORDER - o) for k in (0, 1))
+        if out and out[-1][1] == lo:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
     while len(out) > most:
         gap = sorted(out[i + 1][0] - out[i][1] for i in range(len(out) - 1))[len(out) - most - 1]
         joined = [out[0]]
@@ -202,13 +212,13 @@ def index_ranges(spark: SparkSession, region: Region, order: int, most: int = 64
     return [(a, b) for a, b in out]
 
 
-def search(rows: DataFrame, region: Region, ra: str = "ra", dec: str = "dec", index: str | None = hp.INDEX_COLUMN, order: int | None = None) -> DataFrame:
+def search(rows: DataFrame, region: Region, ra: str = "ra", dec: str = "dec", index: str | None = hp.INDEX_COLUMN, order: int | None = None, cells: DataFrame | None = None) -> DataFrame:
     """The rows in a region. With an index column, ranges of it go to the scan as
-    filters, so row groups outside the cover aren't read. The cover's order follows the
-    region's width unless given."""
+    filters, so row groups outside the cover aren't read. The cover is ``cells`` or one whose
+    order, unless given, follows the region's width."""
     if index and index in rows.columns:
         keep = F.lit(False)
-        for lo, hi in index_ranges(rows.sparkSession, region, cover_order(region) if order is None else order):
+        for lo, hi in index_ranges(cells if cells is not None else held_cover(rows.sparkSession, region, order)):
             keep = keep | ((F.col(index) >= lo) & (F.col(index) < hi))
         rows = rows.where(keep)
     return rows.where(row_predicate(region, ra, dec))

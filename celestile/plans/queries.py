@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from celestile.functions import formulas as X
 from celestile.functions import healpix as hp
+from celestile.functions.pixel import as_pixel
 from celestile.operators import align as A
 from celestile.operators import cells as C
 from celestile.operators import joins as J
@@ -177,6 +178,57 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", hp.avgsize2order_col(hp.mindist2avgsize((F.col("c_custkey") + 1) / 100.0)).alias("margin_order"))
 
 
+# plain numbers of orders and cells
+_ORDERS = "SELECT unnest(range(30))::INT AS Norder"
+
+
+@query("order_sizes", f"SELECT Norder, 1::BIGINT << Norder AS nside, 12::BIGINT << (2 * Norder) AS npix, round(41252.96124941927 / (12 * pow(4.0, Norder)) * pow(4.0, Norder), 6) AS sky_of_twelfth, round(60 * sqrt(41252.96124941927 / 12) * pow(0.5, Norder), 9) AS arcmin FROM ({_ORDERS})")
+def _(spark, d):
+    rows = [(o, hp.order2nside(o), hp.order2npix(o), hp.nside2pixarea(1 << o, degrees=True) * 4.0**o, hp.nside2resol(1 << o, arcmin=True)) for o in range(30) if hp.npix2order(hp.order2npix(o)) == hp.nside2order(1 << o) == o]
+    df = spark.createDataFrame(rows, "Norder INT, nside BIGINT, npix BIGINT, sky_of_twelfth DOUBLE, arcmin DOUBLE")
+    return df.withColumns({"sky_of_twelfth": F.round("sky_of_twelfth", 6), "arcmin": F.round("arcmin", 9)})
+
+
+@query("size_conversions", "SELECT c_custkey, round((c_custkey + 1) / 160.0e0, 9) AS mindist, round((c_custkey + 1) * 0.016e0, 9) AS avgsize, CAST(trunc(log2(sqrt(pi() / 3) / radians((c_custkey + 1) / 6000.0e0))) AS INT) AS size_order FROM customer")
+def _(spark, d):
+    size = (F.col("c_custkey") + 1) / 100.0
+    out = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", hp.avgsize2mindist(size).alias("mindist"), hp.mindist2avgsize(size).alias("avgsize"), hp.avgsize2order_col(size).alias("size_order"))
+    return out.withColumns({c: F.round(c, 9) for c in ("mindist", "avgsize")})
+
+
+@query("interval_cells", f"SELECT Norder, Npix FROM ({LEFT})")
+def _(spark, d):
+    """Cells back from the ranges they span."""
+    c = C.with_bounds(tree_of(spark, d, "lineitem")).select("lo", "hi", hp.interval_order(F.col("lo"), F.col("hi"), 29).alias("Norder"))
+    return c.select("Norder", F.call_function("shiftright", F.col("lo"), ((F.lit(29) - F.col("Norder")) * 2).cast("int")).alias("Npix"))
+
+
+@query("pixel_text", f"SELECT Norder, Npix, 'Order: ' || Norder || ', Pixel: ' || Npix AS text FROM ({LEFT})")
+def _(spark, d):
+    rows = [(*(c := as_pixel(tuple(r))), str(c)) for r in tree_of(spark, d, "lineitem").collect()]  # a row a partition
+    return spark.createDataFrame(rows, "Norder INT, Npix BIGINT, text STRING")
+
+
+_CENTRES5 = X.nest("SELECT range AS pix FROM range(12288)", X.pix2ang("pix", 5, "cra", "cdec", "duckdb"))
+
+
+@query("ring2nest", f"SELECT row_number() OVER (ORDER BY round(cdec, 8) DESC, round(cra, 8)) - 1 AS ring, pix FROM ({_CENTRES5})")
+def _(spark, d):
+    """Ring numbers are ranks of centres from the north, by right ascension within a ring."""
+    return hp.with_nested(spark.range(12288).withColumnRenamed("id", "ring"), "ring", 5, "pix")
+
+
+@query("strip_centres", f"SELECT 5 AS Norder, pix AS Npix FROM ({_CENTRES5}) WHERE cdec BETWEEN -12.5 AND 33.3")
+def _(spark, d):
+    return R.strip_cells(spark, 5, -12.5, 33.3, inclusive=False)
+
+
+@query("polygon_centres", f"SELECT 5 AS Norder, pix AS Npix FROM ({_CENTRES5}) WHERE cra > 10.0 AND cra < 80.0 AND tan(radians(cdec)) > tan(radians(33.0e0)) * cos(radians(cra - 45.0)) / cos(radians(35.0e0))")
+def _(spark, d):
+    """A triangle with a corner at the pole, its sides written as two meridians and a great circle there."""
+    return R.polygon_cells(spark, 5, ((10.0, 33.0), (80.0, 33.0), (0.0, 90.0)), inclusive=False)
+
+
 # histograms and partitions
 @query("hist_order5", f"SELECT pix, n FROM ({hist_sql('lineitem', 5)})")
 def _(spark, d):

@@ -62,9 +62,81 @@ def test_searches_agree_with_a_plain_filter(spark, rows, base):
     assert cat.align(cat).count() == cat.partitions.count() and cat.align(kept).count() <= kept.partitions.count()
 
 
-def test_pruned_scan(spark, base):
-    plan = open_catalog(spark, base).search(R.Cone(120, 10, 3600))._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "dynamicpruning" in plan.lower() or "Norder" in plan
+def test_filters_open_only_their_leaf_files(spark, base):
+    cat = open_catalog(spark, base)
+    one = cells(cat)[3]
+    kept = cat.filter_pixels([one])
+    (file,) = kept.rows([]).inputFiles()
+    assert paths.cell_of_path(file) == one and kept.rows([]).where(F.col("Npix") == one[1]).count() == kept.rows([]).count() > 0
+    assert kept.filter_pixels([]).rows([]).count() == 0 and kept.all_columns() == cat.all_columns()
+    found = cat.search(R.Cone(120, 10, 3600))
+    assert len(found.inputFiles()) < len(cells(cat)) / 4
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [Or(" in plan or "PushedFilters: [IsNotNull" in plan
+
+
+def test_more_leaves_than_are_named(spark, rows, base, monkeypatch):
+    monkeypatch.setattr("celestile.catalog.MOST_FILES", 2)
+    cat = open_catalog(spark, base)
+    some = cells(cat)[:3]
+    kept = cat.filter_pixels(some)
+    assert kept.rows([]).count() == sum(open_catalog(spark, base).filter_pixels([c]).rows([]).count() for c in some) and cat.rows().count() == rows.count()
+
+
+def test_partitions_held_or_joined_alike(spark, rows, monkeypatch):
+    from celestile.operators import partition as T
+
+    placed = hp.with_index(rows)
+    aligned = T.alignment(T.histogram_by_index(placed, 5), 5, 0, 300)
+    held = T.assign(placed, aligned, 5).select("o_orderkey", "Norder", "Npix")
+    assert "Exchange hashpartitioning(pix" not in held._jdf.queryExecution().toString()
+    monkeypatch.setattr(T, "MOST_HELD", 1)
+    assert held.exceptAll(T.assign(placed, aligned, 5).select(*held.columns)).isEmpty() and held.count() == rows.count()
+    assert T.assign(placed, aligned.where("false"), 5).isEmpty()
+
+
+def test_sky_maps(spark, tmp_path):
+    import numpy as np
+
+    from celestile.sources import skymap
+
+    counts = spark.createDataFrame([(0, 5), (700, 2), (767, 1)], "pix long, n long")
+    at = str(tmp_path / "map.fits")
+    skymap.write_map(counts, 3, at)
+    back, order = skymap.read_counts(spark, at)
+    assert order == 3 and back.exceptAll(counts).isEmpty() and back.count() == 3
+    raw = open(at, "rb").read()
+    assert len(raw) % 2880 == 0 and np.frombuffer(raw[5760 : 5760 + 768 * 4], ">i4")[[0, 700, 767, 1]].tolist() == [5, 2, 1, 0]
+    ring = raw.replace(b"'NESTED  '", b"'RING    '")
+    (tmp_path / "ring.fits").write_bytes(ring)
+    want = {(r[0], 5 if r[1] == 0 else 2 if r[1] == 700 else 1) for r in hp.with_nested(spark.createDataFrame([(0,), (700,), (767,)], "ring long"), "ring", 3, "pix").select("pix", "ring").collect()}
+    assert {(r["pix"], r["n"]) for r in skymap.read_counts(spark, str(tmp_path / "ring.fits"))[0].collect()} == want
+    # Numbered cells of two columns, one of them not observed.
+    cards = skymap._cards(
+        ("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 12), ("NAXIS2", 3), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 2), ("TFORM1", "1K"), ("TFORM2", "1E"),
+        ("ORDERING", "NESTED"), ("NSIDE", 8), ("INDXSCHM", "EXPLICIT"),
+    )
+    body = np.array([(5, 2.5), (6, skymap.UNSEEN), (9, 1.0)], dtype=[("k", ">i8"), ("v", ">f4")]).tobytes()
+    (tmp_path / "keyed.fits").write_bytes(raw[:2880] + cards + body.ljust(2880, b"\0"))
+    assert sorted(map(tuple, skymap.read_map(spark, str(tmp_path / "keyed.fits")).collect())) == [(5, 2.5), (9, 1.0)]
+    (tmp_path / "none.fits").write_bytes(raw[:2880])
+    with pytest.raises(ValueError, match="no sky map"):
+        skymap.layout(str(tmp_path / "none.fits"))
+    with pytest.raises(ValueError):
+        skymap.write_map(counts, 13, at)
+
+
+def test_coverage_from_a_sky_map_file(spark, base, tmp_path):
+    import shutil
+
+    from celestile.sources import skymap
+
+    other = str(tmp_path / "cat")
+    shutil.copytree(base, other)
+    skymap.write_map(spark.read.parquet(f"{base}/{paths.POINT_MAP}"), 5, f"{other}/{paths.SKY_MAP}")
+    shutil.rmtree(f"{other}/{paths.POINT_MAP}")
+    a, b = open_catalog(spark, base), open_catalog(spark, other)
+    assert b.moc_order == 5 and a.moc.exceptAll(b.moc).isEmpty() and a.moc.count() == b.moc.count()
 
 
 def test_missing_files(spark, tmp_path):

@@ -243,3 +243,42 @@ def test_cross_match_refuses_radii_beyond_the_ring(spark):
     assert {(r["i"], r["j"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1), (2, 3), (3, 2)}
     with pytest.raises(ValueError):
         joins.cross_match(df, df, 41 * 3600.0, "i", "i")
+
+
+def test_cells_as_values():
+    from celestile.functions.pixel import Pixel, as_pixel
+
+    p = as_pixel((3, 25))
+    assert str(p) == repr(p) == "Order: 3, Pixel: 25" and p[0] == 3 and p[1] == 25 and p == (3, 25) and as_pixel(p) == p
+    assert p.lower(1) == (2, 6) and p.lower(3) == (0, 0) and p.higher(1) == [Pixel(4, k) for k in range(100, 104)] and as_pixel((8, 123456)).directory == 120000
+    with pytest.raises(ValueError):
+        as_pixel((1, 2, 3))
+    with pytest.raises(ValueError):
+        as_pixel((30, 0))
+    for bad in ([1, 2], "12", 7):
+        with pytest.raises(TypeError):
+            as_pixel(bad)
+    for steps in (-1, 4):
+        with pytest.raises(ValueError):
+            p.lower(steps)
+    with pytest.raises(ValueError):
+        p.higher(27)
+
+
+@pytest.mark.parametrize("order", [0, 1, 3])
+def test_ring_numbers_run_from_the_north(spark, order):
+    n = hp.order2npix(order)
+    got = [r["pix"] for r in hp.with_nested(spark.range(n).withColumnRenamed("id", "ring"), "ring", order, "pix").orderBy("ring").collect()]
+    centres = {r["pix"]: (-round(r["dec"], 8), round(r["ra"], 8)) for r in hp.with_centre(spark.range(n).withColumnRenamed("id", "pix"), "pix", order).collect()}
+    assert got == sorted(centres, key=centres.get)
+
+
+def test_ring_numbers_of_high_orders(spark):
+    """The first cells of each pole, of the border rings and of the equator, by the cells their centres are in."""
+    n = 1 << 13
+    cap, last = 2 * n * (n - 1), 12 * n * n
+    some = [0, 1, 3, 4, 11, 12, cap - 1, cap, cap + 4 * n, last // 2, last - cap, last - 5, last - 1]
+    got = hp.with_nested(spark.createDataFrame([(x,) for x in some], "ring long"), "ring", 13, "pix")
+    c = hp.with_centre(got, "pix", 13).orderBy("ring").collect()
+    assert len({r["pix"] for r in c}) == len(some) and [round(r["dec"], 6) for r in c] == sorted((round(r["dec"], 6) for r in c), reverse=True)
+    assert [round(r["ra"]) for r in c[:4]] == [45, 135, 315, 22] and [round(r["ra"]) for r in c[-2:]] == [338, 315]
