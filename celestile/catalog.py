@@ -108,6 +108,8 @@ class Catalog:
     def _kept(self, partitions: DataFrame, moc: DataFrame) -> Catalog:
         pairs = self.pairs.join(partitions.select("Norder", "Npix"), ["Norder", "Npix"], "left_semi") if self.pairs is not None else None
         own = M.intersection(self.moc, moc) if self.moc is not None else None
+        # No more cells than the catalog's own list, which the driver holds; held again, filters don't pile up.
+        partitions = self.spark.createDataFrame(partitions.toArrow())
         return replace(self, partitions=partitions, moc=own, pairs=pairs, properties=self.properties.updated(total_rows=0), source=self._folder, path=None)
 
     def filter_region(self, region: R.Region, order: int | None = None) -> Catalog:
