@@ -16,6 +16,7 @@ Steps = list[dict[str, str]]
 _SPREAD = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
 _GATHER = [(1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)]
 
+# Fixed values of the tiling, from the public papers, down to TURN.
 #: Ring and longitude offsets of the twelve faces.
 JRLL = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
 JPLL = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)

@@ -13,6 +13,7 @@ from celestile.sources.paths import read_text, write_text
 
 PREFIX = "sky"
 TYPES = ("object", "source", "association", "index", "margin")
+# Fixed values of the file format, down to EXTRA.
 #: field -> key on disk; ``*`` stands for the prefix.
 KEYS = {
     "catalog_name": "obs_collection", "catalog_type": "dataproduct_type", "total_rows": "*_nrows", "ra_column": "*_col_ra", "dec_column": "*_col_dec",
