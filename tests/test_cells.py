@@ -187,6 +187,13 @@ def test_partitions_by_density(spark, drop):
             plan(rows, *a)
 
 
+@pytest.mark.parametrize("drop", [False, True])
+def test_overfull_cells_stay_whole(spark, drop):
+    counts = spark.createDataFrame([(176, 30), (177, 5), (180, 4), (181, 3)], "pix long, n long")
+    got = T.alignment(counts, 2, 0, 20, drop, keep_overfull=True)
+    assert {tuple(r) for r in got.collect()} == {(176, 2, 176, 30), (177, 2, 177, 5), (180, 1, 45, 7), (181, 1, 45, 7)}
+
+
 CASES = [
     (R.Cone(315, -66.443, 0.1), [(1, 44)]), (R.Cone(315, -66.443, 30 * 3600), ORDER1), (R.Cone(0, 0, 0.1), []),
     (R.Polygon(((282, -58), (282, -55), (272, -55), (272, -58))), [(1, 46)]), (R.Polygon(((281, -69), (281, -25), (350, -25), (350, -69))), ORDER1), (R.Polygon(((0, 0), (1, 1), (0, 2))), []),

@@ -1,5 +1,7 @@
 """Every query of the core against its SQL."""
 
+from pathlib import Path
+
 import pytest
 
 from celestile.plans import queries as Q
@@ -16,6 +18,28 @@ def test_same_as_sql(spark, small, con, name):
     assert_same(Q.QUERIES[name](spark, small), con, Q.ORACLE_SQL[name])
 
 
+#: Added to an order's key, this leaves its position.
+SAME_PLACE = 36000 * 17999
+
+
+@pytest.fixture(scope="module")
+def crowded(small, tmp_path_factory):
+    """The small tables with 2100 line items more in one cell and 250 orders more in another."""
+    d, con = tmp_path_factory.mktemp("crowded"), connect(small)
+    for t, key, n in (("lineitem", "l_orderkey", 2100), ("orders", "o_orderkey", 250)):
+        more = f"SELECT * REPLACE ({key} + (i + 1) * {SAME_PLACE} AS {key}) FROM (FROM {t} ORDER BY ALL LIMIT 1), range({n}) r(i)"
+        con.execute(f"COPY (FROM {t} UNION ALL SELECT * EXCLUDE (i) FROM ({more})) TO '{d}/{t}.parquet'")
+    for f in Path(small).iterdir():
+        if not (d / f.name).exists():
+            (d / f.name).symlink_to(f)
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["align_threshold"])
+def test_overfull_cells_as_sql(spark, crowded, name):
+    assert_same(Q.QUERIES[name](spark, crowded), connect(crowded), Q.ORACLE_SQL[name])
+
+
 def test_near_boundary_as_sql_on_some_points(spark, small, con):
     from celestile.plans.sky import view_sql
 
