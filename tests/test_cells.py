@@ -158,6 +158,17 @@ def test_near_boundary(spark, order, pix, points, want):
     assert [r["in_margin"] for r in got.collect()] == want
 
 
+def test_margins_of_cells_as_fine_as_the_margin(spark):
+    """A margin of 3600 arcsec is one of cells of order 5: rows of the eight around a leaf of that order are in it."""
+    assert hp.margin2order(60.0) == 5
+    near = {r[0] for r in hp.with_neighbours(spark.createDataFrame([(1000,)], "p long"), "p", 5).selectExpr("explode(neighbours)").collect()}
+    rows = spark.range(hp.order2npix(5)).select("id", hp.to_index(F.col("id"), 5).alias(hp.INDEX_COLUMN))
+    got = G.margin_cache(rows, C.from_pixels(spark, [(5, 1000)]), 3600.0)
+    assert {(r["id"], r["margin_Norder"], r["margin_Npix"]) for r in got.collect()} == {(p, 5, 1000) for p in near} and len(near) == 8
+    with pytest.raises(ValueError):
+        G.margin_cache(rows, C.from_pixels(spark, [(6, 4000)]), 3600.0)
+
+
 def test_margin_filter(spark):
     own = C.from_pixels(spark, [(0, 4), *ORDER1])
     moc = M.from_cells(C.from_pixels(spark, [(1, 44)]))
