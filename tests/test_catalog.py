@@ -139,6 +139,26 @@ def test_coverage_from_a_sky_map_file(spark, base, tmp_path):
     assert b.moc_order == 5 and a.moc.exceptAll(b.moc).isEmpty() and a.moc.count() == b.moc.count()
 
 
+def test_overfull_cells_are_written_whole(spark, tmp_path):
+    df = spark.range(60).selectExpr("id", "if(id < 50, 10.0, id * 5.0) AS ra", "20.0 AS dec")
+    with pytest.raises(ValueError):
+        celestile.write_catalog(df, str(tmp_path / "a"), "t", highest=3, threshold=20)
+    celestile.write_catalog(df, str(tmp_path / "b"), "t", highest=3, threshold=20, keep_overfull=True)
+    cat = open_catalog(spark, str(tmp_path / "b"))
+    assert sorted(r["id"] for r in cat.rows([]).collect()) == list(range(60)) and cat.properties.total_rows == 60
+    assert [r["count"] for r in cat.rows([]).groupBy("Norder", "Npix").count().where("count > 20").collect()] == [50]
+
+
+def test_many_pairs_are_written_as_rows(spark, base, tmp_path, monkeypatch):
+    cat = open_catalog(spark, base)
+    few = stores.write_association(cat, cat, [("o_custkey", "o_custkey")], str(tmp_path / "few"), "few")
+    monkeypatch.setattr(stores, "MOST_PAIRS", len(few) - 1)
+    many = stores.write_association(cat, cat, [("o_custkey", "o_custkey")], str(tmp_path / "many"), "many")
+    a, b = (open_catalog(spark, str(tmp_path / x)) for x in ("few", "many"))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, b.pairs.collect())) == sorted(few)
+    assert a.properties.total_rows == b.properties.total_rows and cells(a) == cells(b)
+
+
 def test_missing_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         open_catalog(spark, str(tmp_path / "none"))
