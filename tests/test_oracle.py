@@ -35,7 +35,7 @@ def crowded(small, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["align_threshold", "assign_partitions", "index_build", "index_lookup", "partition_counts", "size_bins", "validation_sets"])
+@pytest.mark.parametrize("name", ["align_threshold", "assign_partitions", "index_build", "index_lookup", "partition_counts", "size_bins", "validation_sets", *sorted(n for n in Q.ORACLE_SQL if n.startswith("stored_") and n != "stored_csv")])
 def test_overfull_cells_as_sql(spark, crowded, name):
     assert_same(Q.QUERIES[name](spark, crowded), connect(crowded), Q.ORACLE_SQL[name])
 
