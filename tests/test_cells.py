@@ -158,6 +158,22 @@ def test_near_boundary(spark, order, pix, points, want):
     assert [r["in_margin"] for r in got.collect()] == want
 
 
+def test_few_samples_of_a_boundary_are_measured(spark):
+    """All that are nearest, but hardly more than one for each point; points without a position stay."""
+    b = hp.with_boundary(spark.createDataFrame([(3,)], "cell long"), "cell", 1, 100).orderBy("sample").select("ra", "dec").collect()
+    places = [(i * 137 % 36000 / 100.0, i * 89 % 17999 / 100.0 - 89.99) for i in range(300)] + [(405.0, 60.0), (-315.0, 60.0), (45.0, -90.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "i int, ra double, dec double")
+    got = {r["i"]: r["c"] for r in df.select("i", G._nearest([tuple(r) for r in b])("ra", "dec").alias("c")).collect()}
+    unit = lambda ra, dec: (math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec)))
+    for i, p in enumerate(places):
+        apart = [math.dist(unit(*p), unit(*s)) for s in b]
+        assert {k for k, x in enumerate(apart) if x <= min(apart) + 1e-13} <= set(got[i]) and got[i] == sorted(got[i])
+    assert sum(map(len, got.values())) < 1.2 * len(places)
+    odd = spark.createDataFrame([(0, None, 1.0), (1, 1.0, None), (2, float("nan"), 3.0), (3, 405.0, 60.0), (4, 45.0, 60.0)], "i int, ra double, dec double")
+    flags = [r["in_margin"] for r in G.near_boundary(odd, 1, 3, 7200.0).orderBy("i").collect()]
+    assert flags[:3] == [None, None, False] and flags[3] == flags[4] and G.near_boundary(odd.limit(0), 1, 3, 7200.0).count() == 0
+
+
 def test_margins_of_cells_as_fine_as_the_margin(spark):
     """A margin of 3600 arcsec is one of cells of order 5: rows of the eight around a leaf of that order are in it."""
     assert hp.margin2order(60.0) == 5
