@@ -75,6 +75,22 @@ def test_filters_open_only_their_leaf_files(spark, base):
     assert "PushedFilters: [Or(" in plan or "PushedFilters: [IsNotNull" in plan
 
 
+def test_a_task_lists_many_named_files(spark, tmp_path):
+    celestile.write_catalog(spark.range(480).selectExpr("id", "id * 137 % 360 + 0.5 AS ra", "id * 89 % 179 - 89.0 AS dec"), str(tmp_path / "a"), "a", highest=3, threshold=8)
+    cat = open_catalog(spark, str(tmp_path / "a"))
+    setting, tracker = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.statusTracker()
+    assert len(cells(cat)) > 32  # fewer are listed by the driver
+    held = spark.conf.get(setting)
+    spark.sparkContext.setJobGroup("named", "")
+    try:
+        df = cat.rows([])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup("named") for s in tracker.getJobInfo(j).stageIds]
+    assert max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 and spark.conf.get(setting) == held
+    assert df.count() == 480 and len(df.inputFiles()) == len(cells(cat))
+
+
 def test_more_leaves_than_are_named(spark, rows, base, monkeypatch):
     monkeypatch.setattr("celestile.catalog.MOST_FILES", 2)
     cat = open_catalog(spark, base)
