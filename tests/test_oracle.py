@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from celestile.plans import queries as Q
+from celestile.sources import paths
 from tests.oracle import assert_same, connect
 
 
@@ -40,6 +41,13 @@ def test_overfull_cells_as_sql(spark, crowded, name):
     assert_same(Q.QUERIES[name](spark, crowded), connect(crowded), Q.ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", ["stored_rows", "stored_filtered_rows"])
+def test_leaves_in_no_partition_are_not_opened(spark, crowded, name):
+    held = {tuple(r) for r in Q.QUERIES["stored_partition_list"](spark, crowded).collect()}
+    opened = {paths.cell_of_path(f) for f in Q.QUERIES[name](spark, crowded).inputFiles()}
+    assert opened and opened <= held
+
+
 def test_near_boundary_as_sql_on_some_points(spark, small, con):
     from celestile.plans.sky import view_sql
 
